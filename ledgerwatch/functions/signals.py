@@ -27,6 +27,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Half-up rounding that treats a value within 1e-12 of a tie as the tie."""
+    return F.round(F.round(c, 12), places)
+
+
 def hash_uniform(key: Column | str, salt: str = "") -> Column:
     """A reproducible uniform number in [0, 1) from the first 52 md5 bits of the key."""
     digest = F.md5(F.concat(_col(key), F.lit(salt)))
@@ -52,7 +57,7 @@ def is_foreign_ip(ip_country: Column | str, user_id: Column | str) -> Column:
 
 
 def log_amount(amount: Column | str) -> Column:
-    return F.round(F.log1p(_col(amount)), 6)
+    return rounded(F.log1p(_col(amount)), 6)
 
 
 def is_card_not_present(channel: Column | str) -> Column:
@@ -67,7 +72,7 @@ def zscore(amount: Column, mean: Column, std: Column) -> Column:
     """Deviation from the user's history; 0 where the spread is 0 or the score is not finite."""
     z = F.try_divide(amount - mean, std)
     usable = (std > 0) & ~F.isnan(z) & (F.abs(z) != F.lit(float("inf")))
-    return F.coalesce(F.round(F.when(usable, z), 6), F.lit(0.0))
+    return F.coalesce(rounded(F.when(usable, z), 6), F.lit(0.0))
 
 
 def with_direct_signals(df: DataFrame) -> DataFrame:

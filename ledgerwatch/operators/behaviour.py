@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerwatch.functions.signals import micros, ratio, with_direct_signals, zscore
+from ledgerwatch.functions.signals import micros, ratio, rounded, with_direct_signals, zscore
 from ledgerwatch.operators.segments import (
     HEAVY_MIN_ROWS,
     heavy_keys,
@@ -173,13 +173,13 @@ def behaviour(
         "row.*",
         (total["n_1h"] + 1).alias("txn_velocity_1h"),
         (total["n_24h"] + 1).alias("txn_velocity_24h"),
-        F.round("_mean", 6).alias("amount_mean_24h"),
-        F.round("_std", 6).alias("amount_std_24h"),
+        rounded(F.col("_mean"), 6).alias("amount_mean_24h"),
+        rounded(F.col("_std"), 6).alias("amount_std_24h"),
         zscore(amount, F.col("_mean"), F.col("_std")).alias("amount_zscore"),
         (total["m_1h"] + F.col("new_1h")).alias("distinct_merchants_1h"),
         (total["m_24h"] + F.col("new_24h")).alias("distinct_merchants_24h"),
         F.when(F.coalesce(moved, F.lit(False)), 1).otherwise(0).cast("bigint").alias("impossible_travel_flag"),
-        F.when(known, F.round(gap, 3)).otherwise(F.lit(-1.0)).alias("seconds_since_last_txn"),
+        F.when(known, rounded(gap, 3)).otherwise(F.lit(-1.0)).alias("seconds_since_last_txn"),
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in extras],
         *event_lasts,
     )

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerwatch.functions.signals import rounded
 from ledgerwatch.operators.metrics import ks_two_sample
 from ledgerwatch.operators.ordering import percentiles
 from ledgerwatch.schema import (
@@ -19,6 +20,8 @@ from ledgerwatch.schema import (
     RETRAIN_COOLDOWN_MINUTES,
 )
 
+from ledgerwatch.session import small_table
+
 
 def long_form(df: DataFrame, features: list[str] = FEATURE_COLUMNS) -> DataFrame:
     values = df.select(*[F.col(c).cast("double").alias(c) for c in features])
@@ -35,7 +38,9 @@ def quantile_edges(values: DataFrame, buckets: int = PSI_BUCKETS) -> DataFrame:
     found = percentiles(values, "value", shares, ["feature"])
     found = found.select("feature", F.array_sort(F.array_distinct(F.array(*shares))).alias("edges"))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    return found.select("feature", F.when(F.size("edges") == 1, F.col("edges")).otherwise(inner).alias("edges"))
+    chosen = F.when(F.size("edges") == 1, F.col("edges")).otherwise(inner)
+    # Eleven numbers per feature, used several times over: pinned.
+    return small_table(found.select("feature", chosen.alias("edges")))
 
 
 def category_edges(values: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def psi(baseline: DataFrame, live: DataFrame) -> DataFrame:
     """Population stability index per feature from two tables of bucket probabilities."""
     both = baseline.withColumnRenamed("prob", "b").join(live.withColumnRenamed("prob", "l"), ["feature", "bucket"])
     b, l = F.col("b"), F.col("l")
-    return both.groupBy("feature").agg(F.round(F.sum((l - b) * F.ln(l / b)), 5).alias("psi"))
+    return both.groupBy("feature").agg(rounded(F.sum((l - b) * F.ln(l / b)), 5).alias("psi"))
 
 
 def psi_band(value: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerwatch.functions.signals import micros
 from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, heavy_from_counts, mark_heavy, prefix_scan
 from ledgerwatch.schema import EDGE_TYPES
+from ledgerwatch.session import persist_table
 
 # Devices with more users than this are counted as a whole instead of paired up.
 PAIR_LIMIT = 100
@@ -260,7 +261,8 @@ def hop_ready(edges: DataFrame, flagged: DataFrame, etypes: list[str] = EDGE_TYP
         return links.join(entities, _ENTITY).select("user_id", "source", at)
 
     start = flagged.select("user_id", F.col("user_id").alias("source"), F.col("flagged_at").alias("at"))
-    near = _two_earliest(reach_users(reach_entities(start)), ["user_id"])
+    # At most two rows per user; read twice, so stored between the rounds.
+    near = persist_table(_two_earliest(reach_users(reach_entities(start)), ["user_id"]), "near_fraud")
     far = reach_users(reach_entities(near))
 
     def ready(found: DataFrame, hops: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerwatch.functions.signals import hash_uniform, rule_score
+from ledgerwatch.functions.signals import hash_uniform, rounded, rule_score
 from ledgerwatch.schema import LABEL_BATCH, LABEL_DELAY_HOURS
 from ledgerwatch.sources.sinks import backfill, insert_ignore
 
@@ -38,7 +38,7 @@ def rule_labels(df: DataFrame, as_of, source: str = "simulated_chargeback") -> D
         (hash_uniform("txn_id", "outcome") < score).alias("is_fraud"),
         F.lit(source).alias("label_source"),
         F.lit(as_of).cast("timestamp").alias("confirmed_at"),
-        F.round("delay_hours", 3).alias("delay_hours"),
+        rounded(F.col("delay_hours"), 3).alias("delay_hours"),
     )
 
 

@@ -10,19 +10,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SEGMENTS = 256
+_COARSE = 16
+SEGMENTS = _COARSE * _COARSE
+
+
+def _with_segment(points: DataFrame, df: DataFrame, value: str) -> DataFrame:
+    """Adds ``_seg``, which grows with the value: a coarse step, then a fine one within it."""
+    shares = [i / SEGMENTS for i in range(1, SEGMENTS)]
+    cuts = df.agg(F.percentile_approx(value, shares, 1000).alias("cuts")).scalar()
+
+    def below(c: Column) -> Column:
+        return c < F.col(value)
+
+    ends = F.transform(F.sequence(F.lit(_COARSE), F.lit(SEGMENTS - _COARSE), F.lit(_COARSE)), lambda i: F.get("_cuts", i - 1))
+    parts = points.withColumn("_cuts", cuts).withColumn("_ends", ends)
+    parts = parts.withColumn("_step", F.size(F.filter("_ends", below)))
+    fine = F.slice("_cuts", F.col("_step") * _COARSE + 1, F.lit(_COARSE - 1))
+    parts = parts.withColumn("_seg", F.col("_step") * _COARSE + F.size(F.filter(fine, below)))
+    return parts.drop("_cuts", "_ends", "_step")
 
 
 def cumulative_by_value(
-    df: DataFrame, value: str, weights: dict[str, Column], keys: list[str] = (), segments: int = SEGMENTS
+    df: DataFrame, value: str, weights: dict[str, Column], keys: list[str] = ()
 ) -> DataFrame:
     """One row per key and distinct value: each weight summed at the value and, as ``<name>_before``, below it."""
     keys = list(keys)
     df = df.where(F.col(value).isNotNull())
     points = df.groupBy(*keys, value).agg(*[F.sum(w).alias(n) for n, w in weights.items()])
-    shares = [i / segments for i in range(1, segments)]
-    cuts = df.agg(F.percentile_approx(value, shares, 1000).alias("cuts")).scalar()
-    parts = points.withColumn("_seg", F.size(F.filter(cuts, lambda c: c < F.col(value))))
+    parts = _with_segment(points, df, value)
 
     per_segment = parts.groupBy(*keys, "_seg").agg(*[F.sum(n).alias(n) for n in weights])
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,12 +51,12 @@ def cumulative_by_value(
 
 
 def percentiles(
-    df: DataFrame, value: str, shares: dict[str, float], keys: list[str] = (), segments: int = SEGMENTS
+    df: DataFrame, value: str, shares: dict[str, float], keys: list[str] = ()
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per key (one row without keys)."""
     keys = list(keys)
     one = F.lit(1).cast("bigint")
-    points = cumulative_by_value(df, value, {"_n": one}, keys, segments)
+    points = cumulative_by_value(df, value, {"_n": one}, keys)
     counted = df.where(F.col(value).isNotNull())
     if keys:
         sizes = counted.groupBy(*keys).agg(F.count(one).alias("_total"))

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerwatch.schema import HOUR_US
 
-# A key is cut when it holds more rows than this ...
+# A key is cut when it holds more rows than this. Beyond this many such keys the
+# largest ones are cut: the rest then stay below 1/HEAVY_MAX_KEYS of all rows each.
 HEAVY_MIN_ROWS = 200_000
-# ... and more than 1/HEAVY_MAX_KEYS of all rows, which bounds the number of such keys.
 HEAVY_MAX_KEYS = 20_000
 
 # Segment number of every other key; a key is cut either always or never, so it cannot clash.
@@ -29,9 +29,9 @@ def heavy_keys(
 ) -> DataFrame | None:
     """The keys to cut, or None where no key is large.
 
-    One map-side combined count. By construction fewer than ``max_keys`` keys
-    qualify, so they are read back once and planned as a local table: plans over
-    data without heavy keys then hold no trace of the segments.
+    One map-side combined count. At most ``max_keys`` keys come back, whatever the
+    data, and are planned as a local table: plans over data without heavy keys then
+    hold no trace of the segments. The choice steers the balance only, not the result.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     return heavy_from_counts(counts, keys, min_rows, max_keys)
@@ -41,14 +41,13 @@ def heavy_from_counts(
     counts: DataFrame, keys: list[str], min_rows: int = HEAVY_MIN_ROWS, max_keys: int = HEAVY_MAX_KEYS
 ) -> DataFrame | None:
     """As :func:`heavy_keys`, from a table of keys with their number of ``_rows``."""
-    share = counts.agg((F.sum("_rows") / max_keys).alias("share")).scalar()
-    found = counts.where((F.col("_rows") > min_rows) & (F.col("_rows") > share)).select(*keys)
+    found = counts.where(F.col("_rows") > min_rows).orderBy(F.desc("_rows")).limit(max_keys).select(*keys)
     rows = found.collect()
     return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def mark_heavy(df: DataFrame, keys: list[str], heavy: DataFrame | None) -> DataFrame:
-    """Adds the boolean ``_heavy``. The broadcast side holds fewer than ``HEAVY_MAX_KEYS`` rows."""
+    """Adds the boolean ``_heavy``. The broadcast side holds at most ``HEAVY_MAX_KEYS`` rows."""
     if heavy is None:
         return df.withColumn("_heavy", F.lit(False))
     marked = heavy.select(*keys, F.lit(True).alias("_mark"))

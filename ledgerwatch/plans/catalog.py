@@ -52,7 +52,7 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         elif isinstance(field.dataType, T.DoubleType):
-            c = F.round(c, 6) + F.lit(0.0)
+            c = signals.rounded(c, 6) + F.lit(0.0)
         out.append(c.alias(field.name))
     return df.select(*out)
 
@@ -617,7 +617,8 @@ def thompson_route(spark, folder):
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.build_edges(tables.transactions(spark, folder))
+    """The stored graph."""
+    return _stored(spark, folder, "edges", lambda: graph.build_edges(tables.transactions(spark, folder)))
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
@@ -626,7 +627,7 @@ def _flagged(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def graph_edges(spark, folder):
-    return _edges(spark, folder)
+    return graph.build_edges(tables.transactions(spark, folder))
 
 
 @query
@@ -642,7 +643,7 @@ def shared_device_count(spark, folder):
 @query
 def shared_device_count_asof(spark, folder):
     txns = tables.transactions(spark, folder)
-    events, arrivals = graph.shared_device_events(graph.build_edges(txns))
+    events, arrivals = graph.shared_device_events(_edges(spark, folder))
     rows = bh.behaviour(txns, user_events=events, event_totals=["devices_met"], event_lasts=["busy_set"])
     if arrivals is not None:
         rows = graph.add_busy_members(rows, arrivals)

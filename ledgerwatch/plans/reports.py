@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerwatch.functions.signals import inference_ms, ratio, sla_met
+from ledgerwatch.functions.signals import inference_ms, ratio, rounded, sla_met
 from ledgerwatch.operators.metrics import confusion
 from ledgerwatch.operators.ordering import percentiles
 from ledgerwatch.schema import SLA_MS
@@ -29,18 +29,18 @@ def stats_overview(predictions: DataFrame, as_of, hours: float = 1) -> DataFrame
     base = recent.agg(
         F.count(F.lit(1)).alias("total_predictions"),
         _count(F.col("is_flagged")).alias("total_flagged"),
-        F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
-        F.round(F.avg("inference_ms"), 3).alias("avg_inference_ms"),
+        rounded(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
+        rounded(F.avg("inference_ms"), 3).alias("avg_inference_ms"),
         _count(sla_met("latency_ms")).alias("met"),
     )
     return base.withColumn("whole", whole.scalar()).select(
         "total_predictions",
         "total_flagged",
         "avg_latency_ms",
-        F.round("whole.p95", 2).alias("p95_latency_ms"),
-        F.round("whole.p99", 2).alias("p99_latency_ms"),
+        rounded(F.col("whole.p95"), 2).alias("p95_latency_ms"),
+        rounded(F.col("whole.p99"), 2).alias("p99_latency_ms"),
         "avg_inference_ms",
-        F.round(model.scalar(), 3).alias("p99_inference_ms"),
+        rounded(model.scalar(), 3).alias("p99_inference_ms"),
         (ratio(F.col("met"), F.col("total_predictions")) * 100).alias("sla_compliance_pct"),
     )
 
@@ -53,7 +53,7 @@ def fraud_rate_trend(predictions: DataFrame, as_of, hours: float = 1, newest: in
     per_minute = _per_minute(predictions, as_of, hours).groupBy("minute").agg(
         F.count(F.lit(1)).alias("total"),
         _count(F.col("is_flagged")).alias("flagged"),
-        F.round(F.avg("fraud_probability"), 4).alias("avg_prob"),
+        rounded(F.avg("fraud_probability"), 4).alias("avg_prob"),
     )
     return per_minute.orderBy(F.desc("minute")).limit(newest)
 
@@ -69,17 +69,17 @@ def latency_timeseries(predictions: DataFrame, as_of, hours: float = 1, newest:
     shown = rows.select("minute").distinct().orderBy(F.desc("minute")).limit(newest)
     rows = rows.join(F.broadcast(shown), "minute", "left_semi")  # at most ``newest`` rows
     means = rows.groupBy("minute").agg(
-        F.round(F.avg("latency_ms"), 2).alias("avg_ms"), F.round(F.avg("inference_ms"), 3).alias("avg_inference_ms")
+        rounded(F.avg("latency_ms"), 2).alias("avg_ms"), rounded(F.avg("inference_ms"), 3).alias("avg_inference_ms")
     )
     whole = percentiles(rows, "latency_ms", {"p95": 0.95, "p99": 0.99}, ["minute"])
     model = percentiles(rows, "inference_ms", {"p99_model": 0.99}, ["minute"])
     return means.join(whole, "minute").join(model, "minute").select(
         "minute",
         "avg_ms",
-        F.round("p95", 2).alias("p95_ms"),
-        F.round("p99", 2).alias("p99_ms"),
+        rounded(F.col("p95"), 2).alias("p95_ms"),
+        rounded(F.col("p99"), 2).alias("p99_ms"),
         "avg_inference_ms",
-        F.round("p99_model", 3).alias("p99_inference_ms"),
+        rounded(F.col("p99_model"), 3).alias("p99_inference_ms"),
     )
 
 
@@ -137,8 +137,8 @@ def ab_metrics(predictions: DataFrame, labels: DataFrame, as_of, hours: float =
         F.count(F.lit(1)).alias("predictions"),
         ratio(_count(fraud & flagged), _count(known & flagged)).alias("precision"),
         ratio(_count(fraud & flagged), _count(fraud)).alias("recall"),
-        F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
-        F.round(F.avg(inference_ms()), 3).alias("avg_inference_ms"),
+        rounded(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
+        rounded(F.avg(inference_ms()), 3).alias("avg_inference_ms"),
         _count(~known).alias("unlabelled_count"),
     )
 

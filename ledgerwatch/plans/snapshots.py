@@ -8,6 +8,7 @@ from ledgerwatch.operators import graph
 from ledgerwatch.operators.behaviour import behaviour, snapshot_columns
 from ledgerwatch.operators.segments import HEAVY_MIN_ROWS
 from ledgerwatch.schema import EDGE_TYPES
+from ledgerwatch.session import persist_table
 
 
 def feature_snapshots(
@@ -22,8 +23,9 @@ def feature_snapshots(
     Device and distance facts are dated per user and ride on the shuffle of the
     behavioural features; merchant exposure needs one more, by merchant.
     """
-    edges = graph.build_edges(txns)
-    flagged = graph.flagged_users(labels, txns)
+    # Several features read the graph; it is stored once instead of being derived from the raw rows each time.
+    edges = persist_table(graph.build_edges(txns), "edges")
+    flagged = persist_table(graph.flagged_users(labels, txns), "flagged_users")
     device_events, arrivals = graph.shared_device_events(edges, pair_limit)
     hop_events = graph.hop_events(graph.hop_ready(edges, flagged, etypes))
     events = device_events.unionByName(hop_events, allowMissingColumns=True)

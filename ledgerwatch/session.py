@@ -48,3 +48,8 @@ def persist_table(df, label: str):
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(df):
+    """Pin a table whose size does not grow with the data, such as one row per feature or model."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -29,10 +29,6 @@ def read_window(df: DataFrame, ts: str, start, end=None) -> DataFrame:
     return df.where(inside)
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def _transaction_columns() -> list[Column]:
     uid = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
     event = F.col("event_id")
@@ -68,11 +64,16 @@ def _transaction_columns() -> list[Column]:
     ]
 
 
-def transactions(spark: SparkSession, folder: str, keep_event_id: bool = False) -> DataFrame:
-    df = _events(spark, folder).select(*_transaction_columns())
+def as_transactions(events: DataFrame, keep_event_id: bool = False) -> DataFrame:
+    """Events, a table or a stream, in the form of transactions."""
+    df = events.withColumn("ts", F.col("ts").cast("timestamp")).select(*_transaction_columns())
     return df if keep_event_id else df.drop("event_id")
 
 
+def transactions(spark: SparkSession, folder: str, keep_event_id: bool = False) -> DataFrame:
+    return as_transactions(read_table(spark, folder, "events"), keep_event_id)
+
+
 def _label_columns() -> list[Column]:
     score = rule_score("amount", "ip_country", "user_id", "channel", "merchant_category")
     event = F.col("event_id")
