@@ -801,6 +801,14 @@ def oracle_sql() -> dict[str, str]:
         "psi_edges",
     )
     put("ks_statistic", f"SELECT {r('ks')} AS ks_statistic FROM ks", "ks")
+    put(
+        "ks_pvalue",
+        f"""SELECT {r('ks')} AS ks_statistic, {r('least(greatest(2 * sum((CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END) * exp(-2e0 * k * k * x * x)), 0e0), 1e0)')} AS ks_pvalue
+          FROM (SELECT ks, ks * sqrt(na * nb * 1e0 / (na + nb)) AS x FROM ks, (
+            SELECT count(*) FILTER (scored_at < {SPLIT_AT}) AS na, count(*) FILTER (scored_at >= {SPLIT_AT}) AS nb FROM preds)),
+            range(1, 101) g(k) GROUP BY ks""",
+        "ks", "preds",
+    )
     put("last_retrain", "SELECT max(checked_at) AS last_retrain_at FROM drift_log WHERE retrain_triggered", "drift_log")
     resting = f"coalesce({NOW} - (SELECT max(checked_at) FROM drift_log WHERE retrain_triggered) < INTERVAL 2880 MINUTE, false)"
     put(
