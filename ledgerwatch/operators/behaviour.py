@@ -18,13 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerwatch.functions.signals import micros, ratio, rounded, with_direct_signals, zscore
-from ledgerwatch.operators.segments import (
-    HEAVY_MIN_ROWS,
-    heavy_keys,
-    mark_heavy,
-    neighbours,
-    prefix_scan,
-)
+from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, by_weight, heavy_keys, neighbours, prefix_scan
 from ledgerwatch.schema import (
     DAY_US,
     FEATURE_COLUMNS,
@@ -69,61 +63,73 @@ def _mean_and_std(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
     return mean, std
 
 
-def user_moves(df: DataFrame, cols: Columns = Columns(), min_rows: int = HEAVY_MIN_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Each transaction as one query row plus the moves that open and close its windows.
-
-    Returns the moves and the heavy users. A move takes effect for positions above its own.
-    """
-    df = df.withColumns({"_row": F.struct(*[F.col(c) for c in df.columns]), "_us": micros(cols.ts)})
+def _base_rows(df: DataFrame, cols: Columns, events: DataFrame | None) -> DataFrame:
+    """One row per transaction and one per dated event of a user, in one table to shuffle once."""
+    row = F.struct(*[F.col(c) for c in df.columns])
     base = df.select(
         F.col(cols.user).alias("_user"),
         F.col(cols.txn).alias("_txn"),
-        "_us",
+        micros(cols.ts).alias("_us"),
         F.col(cols.merchant).alias("_merchant"),
         F.col(cols.country).alias("_country"),
         _units(F.col(cols.amount)).alias("_a"),
-        "_row",
+        row.alias("_row"),
     )
-    heavy = heavy_keys(base, ["_user"], min_rows)
-    near = neighbours(mark_heavy(base, ["_user"], heavy), ["_user", "_merchant"], "_us", "_txn")
+    if events is None:
+        return base
+    # Moves act strictly after their position; events count at their own instant.
+    dated = events.withColumn("position", F.col("position") - 1).withColumnRenamed("position", "_us")
+    return base.unionByName(dated, allowMissingColumns=True)
+
 
+def _moves(near: DataFrame, extras: list[str]) -> DataFrame:
+    """Each transaction as a query row plus the moves that open and close its windows.
+
+    A move takes effect for positions above its own. Events pass through as they are.
+    """
     us, prev, nxt = F.col("_us"), F.col("prev_pos"), F.col("next_pos")
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    zero = F.lit(0).cast("decimal(24,0)")
-    a = F.coalesce(F.col("_a"), zero)
+    a = F.coalesce(F.col("_a"), F.lit(0).cast("decimal(24,0)"))
     square = (a * a).cast("decimal(38,0)")
     shows = F.col("last_at_pos")
 
     def flag(condition: Column) -> Column:
         return F.when(shows & condition, one).otherwise(none)
 
-    opens_24h = flag(prev.isNull() | (prev <= us - DAY_US))
-    opens_1h = flag(prev.isNull() | (prev < us - HOUR_US))
-    closes_24h = flag(nxt.isNull() | (nxt >= us + DAY_US))
-    closes_1h = flag(nxt.isNull() | (nxt > us + HOUR_US))
-    # The current merchant counts once more only if the history does not hold it already.
-    new_24h = F.when(prev > us - DAY_US, none).otherwise(one)
-    new_1h = F.when(prev >= us - HOUR_US, none).otherwise(one)
-
-    def move(position, n24, n1, s1, s2, m24, m1, row, extra24, extra1, seen) -> Column:
-        values = [position, n24, n1, s1.cast("decimal(38,0)"), s2, m24, m1, row, extra24, extra1, seen]
-        names = ["position", *_TOTALS, "row", "new_24h", "new_1h", "seen"]
-        return F.struct(*[v.alias(k) for v, k in zip(values, names)])
-
-    row, seen = F.col("_row"), F.struct(us.alias("us"), F.col("_country").alias("country"))
-    no_row, no_seen = F.lit(None), F.lit(None)
-    moves = near.select(
-        "_user",
-        "_txn",
-        F.explode(
-            F.array(
-                move(us, one, one, a, square, opens_24h, opens_1h, row, new_24h, new_1h, seen),
-                move(us + DAY_US - 1, -one, none, -a, -square, -closes_24h, none, no_row, none, none, no_seen),
-                move(us + HOUR_US, none, -one, zero, zero.cast("decimal(38,0)"), none, -closes_1h, no_row, none, none, no_seen),
-            )
-        ).alias("_m"),
-    ).select("_user", "_txn", "_m.*")
-    return moves, heavy
+    # A merchant's stay in the window lasts while its next visit comes before the previous one has left.
+    enters = {
+        "n_24h": one,
+        "n_1h": one,
+        "s1": a.cast("decimal(38,0)"),
+        "s2": square,
+        "m_24h": flag(prev.isNull() | (prev <= us - DAY_US)),
+        "m_1h": flag(prev.isNull() | (prev < us - HOUR_US)),
+        # The current merchant counts once more only if the history does not hold it already.
+        "new_24h": F.when(prev > us - DAY_US, none).otherwise(one),
+        "new_1h": F.when(prev >= us - HOUR_US, none).otherwise(one),
+        "row": F.col("_row"),
+        "seen": F.struct(us.alias("us"), F.col("_country").alias("country")),
+    }
+    leaves_day = {
+        "n_24h": -one,
+        "s1": -a.cast("decimal(38,0)"),
+        "s2": -square,
+        "m_24h": -flag(nxt.isNull() | (nxt >= us + DAY_US)),
+    }
+    leaves_hour = {"n_1h": -one, "m_1h": -flag(nxt.isNull() | (nxt > us + HOUR_US))}
+
+    def move(position: Column, values: dict[str, Column]) -> Column:
+        filled = {c: values.get(c, F.lit(None)) for c in enters}
+        carried = {c: values.get(c, F.lit(None)) for c in extras}
+        return F.struct(position.alias("position"), *[v.alias(c) for c, v in {**filled, **carried}.items()])
+
+    txn = [move(us, enters), move(us + DAY_US - 1, leaves_day), move(us + HOUR_US, leaves_hour)]
+    if not extras:
+        choice = F.array(*txn)
+    else:
+        event = move(us, {c: F.col(c) for c in extras})
+        choice = F.when(F.col("_row").isNull(), F.array(event)).otherwise(F.array(*txn))
+    return near.select("_user", "_txn", F.explode(choice).alias("_m")).select("_user", "_txn", "_m.*")
 
 
 def behaviour(
@@ -142,34 +148,38 @@ def behaviour(
     *event_lasts)``: counts to sum up, and states to look up, to and including the instant of
     each transaction. They ride on the same shuffle.
     """
-    moves, heavy = user_moves(df, cols, min_rows)
-    extras = list(event_totals)
-    if user_events is not None:
-        # Moves act strictly after their position; these count at their own instant.
-        dated = user_events.withColumn("position", F.col("position") - 1)
-        moves = moves.unionByName(dated, allowMissingColumns=True)
-    scanned = prefix_scan(
-        mark_heavy(moves, ["_user"], heavy),
-        ["_user"],
-        "position",
-        totals=_TOTALS + extras,
-        lasts=["seen", *event_lasts],
-        tie="_txn",
-    ).where(F.col("row").isNotNull())
-
+    extras = [*event_totals, *event_lasts]
+    heavy = heavy_keys(df.select(F.col(cols.user).alias("_user")), ["_user"], min_rows)
+
+    def run(rows: DataFrame, segmented: bool) -> DataFrame:
+        if not segmented:
+            # Placed by user once; all windows below only sort.
+            rows = rows.repartition("_user")
+        near = neighbours(rows, ["_user", "_merchant"], "_us", "_txn", segmented)
+        return prefix_scan(
+            _moves(near, extras),
+            ["_user"],
+            "position",
+            totals=[*_TOTALS, *event_totals],
+            lasts=["seen", *event_lasts],
+            tie="_txn",
+            segmented=segmented,
+        ).where(F.col("row").isNotNull())
+
+    scanned = by_weight(_base_rows(df, cols, user_events), ["_user"], heavy, run)
     total = {c: F.coalesce(F.col(c), F.lit(0)) for c in _TOTALS}
     mean, std = _mean_and_std(total["n_24h"], total["s1"], total["s2"])
     gap = (F.col("position") - F.col("seen.us")) / F.lit(float(US_PER_SECOND))
     known = F.col("seen").isNotNull() & (gap <= history_seconds)
+    country = F.col("row").getField(cols.country)
     moved = (
         known
         & (F.col("seen.country") != "")
-        & (F.col("seen.country") != F.col("country"))
+        & (F.col("seen.country") != country)
         & (gap <= travel_seconds)
     )
     amount = F.col("row").getField(cols.amount)
-    out = scanned.withColumns({"_mean": mean, "_std": std, "country": F.col("row").getField(cols.country)})
-    return out.select(
+    return scanned.withColumns({"_mean": mean, "_std": std}).select(
         "row.*",
         (total["n_1h"] + 1).alias("txn_velocity_1h"),
         (total["n_24h"] + 1).alias("txn_velocity_24h"),
@@ -180,11 +190,27 @@ def behaviour(
         (total["m_24h"] + F.col("new_24h")).alias("distinct_merchants_24h"),
         F.when(F.coalesce(moved, F.lit(False)), 1).otherwise(0).cast("bigint").alias("impossible_travel_flag"),
         F.when(known, rounded(gap, 3)).otherwise(F.lit(-1.0)).alias("seconds_since_last_txn"),
-        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in extras],
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in event_totals],
         *event_lasts,
     )
 
 
 def snapshot_columns(df: DataFrame) -> DataFrame:
     """The stored snapshot: keys, times and the features in contract order."""
-    return with_direct_signals(df).select("txn_id", "user_id", "txn_timestamp", *FEATURE_COLUMNS)
+    return df.select("txn_id", "user_id", "txn_timestamp", *FEATURE_COLUMNS)
+
+
+def snapshot_input(txns: DataFrame) -> DataFrame:
+    """What a snapshot needs of a transaction, with the direct signals in place of their inputs."""
+    return with_direct_signals(txns).select(
+        "txn_id",
+        "user_id",
+        "txn_timestamp",
+        "amount",
+        "merchant_id",
+        "ip_country",
+        "is_foreign_ip",
+        "log_amount",
+        "is_card_not_present",
+        "is_high_risk_category",
+    )

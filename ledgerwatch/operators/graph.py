@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerwatch.functions.signals import micros
-from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, heavy_from_counts, mark_heavy, prefix_scan
+from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, by_weight, heavy_from_counts, prefix_scan
 from ledgerwatch.schema import EDGE_TYPES
 from ledgerwatch.session import persist_table
 
@@ -175,14 +175,15 @@ def add_busy_members(df: DataFrame, arrivals: DataFrame) -> DataFrame:
 
     Busy sets are large by definition, so each is cut into time segments.
     """
+    # Rows without a busy set ask under a key of their own instant, where nobody arrives.
+    alone = F.concat_ws("\x1e", F.lit(""), "user_id", "txn_id")
     queries = df.select(
-        F.coalesce("busy_set", F.concat(F.lit("\x1e"), F.col("user_id"))).alias("busy_set"),
+        F.coalesce("busy_set", alone).alias("busy_set"),
         micros("txn_timestamp").alias("position"),
-        F.col("busy_set").isNotNull().alias("_heavy"),
         F.struct(*[F.col(c) for c in df.columns]).alias("row"),
     )
-    moves = queries.unionByName(arrivals.withColumn("_heavy", F.lit(True)), allowMissingColumns=True)
-    counted = prefix_scan(moves, ["busy_set"], "position", totals=["arrived"], inclusive=True)
+    moves = queries.unionByName(arrivals, allowMissingColumns=True)
+    counted = prefix_scan(moves, ["busy_set"], "position", ["arrived"], inclusive=True, segmented=True)
     counted = counted.where(F.col("row").isNotNull())
     others = F.coalesce(F.col("arrived") - 1, F.lit(0))
     return counted.select("row.*", others.alias("_others")).select(
@@ -222,8 +223,11 @@ def merchant_fraud_asof(
     # The edge table knows the rows per merchant already.
     rows = of_type(edges, "TRANSACTED_AT").groupBy(F.col("entity_id").alias("_merchant"))
     heavy = heavy_from_counts(rows.agg(F.sum("txns").alias("_rows")), ["_merchant"], min_rows)
-    moves = mark_heavy(queries.unionByName(exposure, allowMissingColumns=True), ["_merchant"], heavy)
-    counted = prefix_scan(moves, ["_merchant"], "position", totals=["flagged"], inclusive=True)
+
+    def run(moves: DataFrame, segmented: bool) -> DataFrame:
+        return prefix_scan(moves, ["_merchant"], "position", ["flagged"], inclusive=True, segmented=segmented)
+
+    counted = by_weight(queries.unionByName(exposure, allowMissingColumns=True), ["_merchant"], heavy, run)
     return counted.where(F.col("row").isNotNull()).select(
         "row.*", F.coalesce("flagged", F.lit(0)).cast("bigint").alias("shared_merchant_fraud_count")
     )

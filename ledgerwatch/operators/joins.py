@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerwatch.functions.signals import micros
-from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, heavy_keys, mark_heavy, prefix_scan
+from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, by_weight, heavy_keys, prefix_scan
 
 
 def dedup_latest(df: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
@@ -57,8 +57,12 @@ def asof_join(
         F.struct(*[F.col(c) for c in left.columns]).alias("row"),
     )
     heavy = heavy_keys(left.select(F.col(key).alias("_key")).unionAll(right.select(key)), ["_key"], min_rows)
-    moves = mark_heavy(updates.unionByName(asks, allowMissingColumns=True), ["_key"], heavy)
-    rows = prefix_scan(moves, ["_key"], "position", lasts=["found"], tie="_tie").where(F.col("row").isNotNull())
+
+    def run(moves: DataFrame, segmented: bool) -> DataFrame:
+        return prefix_scan(moves, ["_key"], "position", lasts=["found"], tie="_tie", segmented=segmented)
+
+    rows = by_weight(updates.unionByName(asks, allowMissingColumns=True), ["_key"], heavy, run)
+    rows = rows.where(F.col("row").isNotNull())
     fresh = F.col("found").isNotNull()
     if max_age_us is not None:
         fresh = fresh & (F.col("position") - F.col("found._at") <= max_age_us)

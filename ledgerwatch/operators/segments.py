@@ -1,14 +1,15 @@
 """Running totals and last values per key that stay balanced when one key is huge.
 
-A window per key puts all rows of the key into one task. Here the few keys that
-hold a large share of the rows are cut into time segments. Each segment starts
-with one carry row that sums up the segments before it, so the windows inside
-the segments give the same answer as one window over the whole key. All other
-keys form a single segment and cost one shuffle, as a plain window would.
+A window per key puts all rows of the key into one task. That is right for ordinary
+keys: one shuffle by key serves every window. The few keys with very many rows take
+a second way: they are cut into time segments, and each segment starts with one carry
+row that sums up the segments before it, so the windows inside the segments give the
+same answer as one window over the whole key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,9 +21,6 @@ from ledgerwatch.schema import HOUR_US
 HEAVY_MIN_ROWS = 200_000
 HEAVY_MAX_KEYS = 20_000
 
-# Segment number of every other key; a key is cut either always or never, so it cannot clash.
-_WHOLE = -1
-
 
 def heavy_keys(
     df: DataFrame, keys: list[str], min_rows: int = HEAVY_MIN_ROWS, max_keys: int = HEAVY_MAX_KEYS
@@ -46,18 +44,22 @@ def heavy_from_counts(
     return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
-def mark_heavy(df: DataFrame, keys: list[str], heavy: DataFrame | None) -> DataFrame:
-    """Adds the boolean ``_heavy``. The broadcast side holds at most ``HEAVY_MAX_KEYS`` rows."""
+def by_weight(
+    df: DataFrame, keys: list[str], heavy: DataFrame | None, run: Callable[[DataFrame, bool], DataFrame]
+) -> DataFrame:
+    """``run(rows, segmented)`` over the rows of ordinary keys and, apart, those of heavy keys.
+
+    The broadcast side holds at most ``HEAVY_MAX_KEYS`` rows.
+    """
     if heavy is None:
-        return df.withColumn("_heavy", F.lit(False))
-    marked = heavy.select(*keys, F.lit(True).alias("_mark"))
-    return df.join(F.broadcast(marked), keys, "left").select(
-        *df.columns, F.coalesce("_mark", F.lit(False)).alias("_heavy")
-    )
+        return run(df, False)
+    small = F.broadcast(heavy.select(*keys))
+    ordinary = run(df.join(small, keys, "left_anti"), False)
+    return ordinary.unionByName(run(df.join(small, keys, "left_semi"), True))
 
 
-def segment(heavy: Column, position: Column, width: int) -> Column:
-    return F.when(heavy, F.floor(position / F.lit(width)).cast("bigint")).otherwise(F.lit(_WHOLE))
+def _segment(position: str, width: int) -> Column:
+    return F.floor(F.col(position) / F.lit(width)).cast("bigint")
 
 
 def _all_null(columns: list[str]) -> Column:
@@ -72,81 +74,73 @@ def prefix_scan(
     lasts: list[str] = (),
     tie: str | None = None,
     inclusive: bool = False,
+    segmented: bool = False,
     width: int = HOUR_US,
 ) -> DataFrame:
     """Replace each column of ``totals`` and ``lasts`` by its value over the rows before.
 
-    ``moves`` carries ``_heavy`` (see :func:`mark_heavy`) and a bigint ``position``.
-    A total is the sum over rows of the same key with a smaller position, or a
-    smaller or equal one when ``inclusive``. A last is the newest non-null value
-    in the order of ``(position, tie)`` before the row itself.
+    ``position`` is a bigint. A total is the sum over rows of the same key with a
+    smaller position, or a smaller or equal one when ``inclusive``. A last is the
+    newest non-null value in the order of ``(position, tie)`` before the row itself.
     """
     totals, lasts = list(totals), list(lasts)
-    parts = moves.withColumn("_seg", segment(F.col("_heavy"), F.col(position), width))
+    order = [F.col(c) for c in [position, tie] if c]
+    rows, groups = moves, list(keys)
+    if segmented:
+        rows, groups = _with_carry(moves, keys, position, totals, lasts, order, width), [*keys, "_seg"]
+
+    within = Window.partitionBy(*groups)
+    if lasts:
+        ordered = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(ordered) for c in lasts})
+    if totals:
+        ranged = within.orderBy(position).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        rows = rows.withColumns({c: F.sum(c).over(ranged) for c in totals})
+    return rows.where(~F.col("_carry")).drop("_seg", "_carry") if segmented else rows
 
-    # Carry rows, for segments of heavy keys only.
-    order = F.struct(*[F.col(c) for c in [position, tie] if c])
+
+def _with_carry(moves, keys, position, totals, lasts, order, width) -> DataFrame:
+    """The moves with their ``_seg`` and one carry row ahead of every segment."""
+    parts = moves.withColumn("_seg", _segment(position, width))
+    at = F.struct(*order)
     aggregates = [F.sum(c).alias(c) for c in totals]
-    aggregates += [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in lasts]
-    per_segment = parts.where("_heavy").groupBy(*keys, "_seg").agg(*aggregates)
+    aggregates += [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in lasts]
+    per_segment = parts.groupBy(*keys, "_seg").agg(*aggregates)
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum(c).over(before).alias(c) for c in totals]
     carried += [F.last(c, ignorenulls=True).over(before).alias(c) for c in lasts]
     carry = per_segment.select(
-        *keys,
-        "_seg",
-        (F.col("_seg") * width - 1).alias(position),
-        *carried,
-        F.lit(True).alias("_carry"),
+        *keys, "_seg", (F.col("_seg") * width - 1).alias(position), *carried, F.lit(True).alias("_carry")
     ).where(~_all_null(totals + lasts))
+    return parts.withColumn("_carry", F.lit(False)).unionByName(carry, allowMissingColumns=True)
 
-    rows = parts.drop("_heavy").withColumn("_carry", F.lit(False))
-    rows = rows.unionByName(carry, allowMissingColumns=True)
 
-    within = Window.partitionBy(*keys, "_seg")
-    if lasts:
-        ordered = within.orderBy(*[F.col(c) for c in [position, tie] if c])
-        ordered = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(ordered) for c in lasts})
-    if totals:
-        ranged = within.orderBy(position).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        rows = rows.withColumns({c: F.sum(c).over(ranged) for c in totals})
-    return rows.where(~F.col("_carry")).drop("_seg", "_carry")
-
-
-def neighbours(df: DataFrame, keys: list[str], position: str, tie: str, width: int = HOUR_US) -> DataFrame:
+def neighbours(
+    df: DataFrame, keys: list[str], position: str, tie: str, segmented: bool = False, width: int = HOUR_US
+) -> DataFrame:
     """Adds ``prev_pos`` and ``next_pos``: the nearest strictly smaller and larger position of the key.
 
     ``next_pos`` is set on the last row of each position only; ``last_at_pos`` tells it.
-    ``df`` carries ``_heavy``. Segments of heavy keys are fenced by the last position
-    before and the first position after them.
+    Segments are fenced by the last position before and the first position after them.
     """
-    parts = df.withColumn("_seg", segment(F.col("_heavy"), F.col(position), width))
-    spans = (
-        parts.where("_heavy")
-        .groupBy(*keys, "_seg")
-        .agg(F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-    )
-    by_segment = Window.partitionBy(*keys).orderBy("_seg")
-    spans = spans.select(
-        *keys,
-        "_seg",
-        F.lag("_hi").over(by_segment).alias("_before"),
-        F.lead("_lo").over(by_segment).alias("_after"),
-    )
-    fences = spans.select(
-        *keys, "_seg", F.explode(F.array("_before", "_after")).alias(position), F.lit(True).alias("_fence")
-    ).where(F.col(position).isNotNull())
-    rows = parts.withColumn("_fence", F.lit(False)).unionByName(fences, allowMissingColumns=True)
-
-    within = Window.partitionBy(*keys, "_seg")
+    rows, groups = df, list(keys)
+    if segmented:
+        groups.append("_seg")
+        parts = df.withColumn("_seg", _segment(position, width))
+        spans = parts.groupBy(*groups).agg(F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+        by_segment = Window.partitionBy(*keys).orderBy("_seg")
+        spans = spans.select(
+            *groups, F.lag("_hi").over(by_segment).alias("_before"), F.lead("_lo").over(by_segment).alias("_after")
+        )
+        fences = spans.select(
+            *groups, F.explode(F.array("_before", "_after")).alias(position), F.lit(True).alias("_fence")
+        ).where(F.col(position).isNotNull())
+        rows = parts.withColumn("_fence", F.lit(False)).unionByName(fences, allowMissingColumns=True)
+
+    within = Window.partitionBy(*groups)
     following = F.lead(position).over(within.orderBy(position, tie))
     earlier = F.max(position).over(within.orderBy(position).rangeBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({"next_pos": following}).withColumns({"prev_pos": earlier})
     last_here = F.col("next_pos").isNull() | (F.col("next_pos") > F.col(position))
-    return (
-        rows.withColumn("last_at_pos", last_here)
-        .withColumn("next_pos", F.when(last_here, F.col("next_pos")))
-        .where(~F.col("_fence"))
-        .drop("_seg", "_fence")
-    )
+    rows = rows.withColumn("last_at_pos", last_here).withColumn("next_pos", F.when(last_here, F.col("next_pos")))
+    return rows.where(~F.col("_fence")).drop("_seg", "_fence") if segmented else rows

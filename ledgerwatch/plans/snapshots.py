@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerwatch.operators import graph
-from ledgerwatch.operators.behaviour import behaviour, snapshot_columns
+from ledgerwatch.operators.behaviour import behaviour, snapshot_columns, snapshot_input
 from ledgerwatch.operators.segments import HEAVY_MIN_ROWS
 from ledgerwatch.schema import EDGE_TYPES
 from ledgerwatch.session import persist_table
@@ -30,7 +30,7 @@ def feature_snapshots(
     hop_events = graph.hop_events(graph.hop_ready(edges, flagged, etypes))
     events = device_events.unionByName(hop_events, allowMissingColumns=True)
     rows = behaviour(
-        txns,
+        snapshot_input(txns),
         min_rows=min_rows,
         user_events=events,
         event_totals=["devices_met", "two_hops", "four_hops"],
