@@ -29,7 +29,14 @@ from ledgerwatch.schema import (
 )
 
 _SCALE = 1_000_000
-_TOTALS = ["n_24h", "n_1h", "s1", "s2", "m_24h", "m_1h"]
+# What each family of features sums up; a family that is not asked for costs nothing.
+_TOTALS = {
+    "velocity": ["n_24h", "n_1h"],
+    "amount": ["n_24h", "s1", "s2"],
+    "merchants": ["m_24h", "m_1h"],
+    "last": [],
+}
+FAMILIES = tuple(_TOTALS)
 
 
 @dataclass(frozen=True)
@@ -82,48 +89,51 @@ def _base_rows(df: DataFrame, cols: Columns, events: DataFrame | None) -> DataFr
     return base.unionByName(dated, allowMissingColumns=True)
 
 
-def _moves(near: DataFrame, extras: list[str]) -> DataFrame:
+def _moves(near: DataFrame, families: tuple[str, ...], extras: list[str]) -> DataFrame:
     """Each transaction as a query row plus the moves that open and close its windows.
 
     A move takes effect for positions above its own. Events pass through as they are.
     """
-    us, prev, nxt = F.col("_us"), F.col("prev_pos"), F.col("next_pos")
+    us = F.col("_us")
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     a = F.coalesce(F.col("_a"), F.lit(0).cast("decimal(24,0)"))
-    square = (a * a).cast("decimal(38,0)")
-    shows = F.col("last_at_pos")
-
-    def flag(condition: Column) -> Column:
-        return F.when(shows & condition, one).otherwise(none)
-
-    # A merchant's stay in the window lasts while its next visit comes before the previous one has left.
-    enters = {
-        "n_24h": one,
-        "n_1h": one,
-        "s1": a.cast("decimal(38,0)"),
-        "s2": square,
-        "m_24h": flag(prev.isNull() | (prev <= us - DAY_US)),
-        "m_1h": flag(prev.isNull() | (prev < us - HOUR_US)),
-        # The current merchant counts once more only if the history does not hold it already.
-        "new_24h": F.when(prev > us - DAY_US, none).otherwise(one),
-        "new_1h": F.when(prev >= us - HOUR_US, none).otherwise(one),
-        "row": F.col("_row"),
-        "seen": F.struct(us.alias("us"), F.col("_country").alias("country")),
-    }
-    leaves_day = {
-        "n_24h": -one,
-        "s1": -a.cast("decimal(38,0)"),
-        "s2": -square,
-        "m_24h": -flag(nxt.isNull() | (nxt >= us + DAY_US)),
-    }
-    leaves_hour = {"n_1h": -one, "m_1h": -flag(nxt.isNull() | (nxt > us + HOUR_US))}
+    enters: dict[str, Column] = {"row": F.col("_row")}
+    leaves_day: dict[str, Column] = {}
+    leaves_hour: dict[str, Column] = {}
+    if "velocity" in families or "amount" in families:
+        enters["n_24h"], leaves_day["n_24h"] = one, -one
+    if "velocity" in families:
+        enters["n_1h"], leaves_hour["n_1h"] = one, -one
+    if "amount" in families:
+        value, square = a.cast("decimal(38,0)"), (a * a).cast("decimal(38,0)")
+        enters |= {"s1": value, "s2": square}
+        leaves_day |= {"s1": -value, "s2": -square}
+    if "last" in families:
+        enters["seen"] = F.struct(us.alias("us"), F.col("_country").alias("country"))
+    if "merchants" in families:
+        prev, nxt = F.col("prev_pos"), F.col("next_pos")
+
+        def flag(condition: Column) -> Column:
+            return F.when(F.col("last_at_pos") & condition, one).otherwise(none)
+
+        # A merchant stays in the window while its next visit comes before the previous one has left.
+        enters |= {
+            "m_24h": flag(prev.isNull() | (prev <= us - DAY_US)),
+            "m_1h": flag(prev.isNull() | (prev < us - HOUR_US)),
+            # The current merchant counts once more only if the history does not hold it already.
+            "new_24h": F.when(prev > us - DAY_US, none).otherwise(one),
+            "new_1h": F.when(prev >= us - HOUR_US, none).otherwise(one),
+        }
+        leaves_day["m_24h"] = -flag(nxt.isNull() | (nxt >= us + DAY_US))
+        leaves_hour["m_1h"] = -flag(nxt.isNull() | (nxt > us + HOUR_US))
 
     def move(position: Column, values: dict[str, Column]) -> Column:
         filled = {c: values.get(c, F.lit(None)) for c in enters}
         carried = {c: values.get(c, F.lit(None)) for c in extras}
         return F.struct(position.alias("position"), *[v.alias(c) for c, v in {**filled, **carried}.items()])
 
-    txn = [move(us, enters), move(us + DAY_US - 1, leaves_day), move(us + HOUR_US, leaves_hour)]
+    txn = [move(us, enters)]
+    txn += [move(at, m) for at, m in ((us + DAY_US - 1, leaves_day), (us + HOUR_US, leaves_hour)) if m]
     if not extras:
         choice = F.array(*txn)
     else:
@@ -138,61 +148,65 @@ def behaviour(
     travel_seconds: float = TRAVEL_MAX_SECONDS,
     history_seconds: float = HISTORY_TTL_SECONDS,
     min_rows: int = HEAVY_MIN_ROWS,
+    families: tuple[str, ...] = FAMILIES,
     user_events: DataFrame | None = None,
     event_totals: list[str] = (),
     event_lasts: list[str] = (),
 ) -> DataFrame:
     """All input columns plus velocity, amount, merchant, gap and travel features.
 
+    ``families`` limits the work to part of them.
     ``user_events`` are further dated facts per user, ``(_user, position, *event_totals,
     *event_lasts)``: counts to sum up, and states to look up, to and including the instant of
     each transaction. They ride on the same shuffle.
     """
     extras = [*event_totals, *event_lasts]
+    totals = list(dict.fromkeys(c for f in families for c in _TOTALS[f]))
+    lasts = ["seen"] if "last" in families else []
     heavy = heavy_keys(df.select(F.col(cols.user).alias("_user")), ["_user"], min_rows)
 
     def run(rows: DataFrame, segmented: bool) -> DataFrame:
         if not segmented:
             # Placed by user once; all windows below only sort.
             rows = rows.repartition("_user")
-        near = neighbours(rows, ["_user", "_merchant"], "_us", "_txn", segmented)
+        if "merchants" in families:
+            rows = neighbours(rows, ["_user", "_merchant"], "_us", "_txn", segmented)
         return prefix_scan(
-            _moves(near, extras),
+            _moves(rows, families, extras),
             ["_user"],
             "position",
-            totals=[*_TOTALS, *event_totals],
-            lasts=["seen", *event_lasts],
+            totals=[*totals, *event_totals],
+            lasts=[*lasts, *event_lasts],
             tie="_txn",
             segmented=segmented,
         ).where(F.col("row").isNotNull())
 
     scanned = by_weight(_base_rows(df, cols, user_events), ["_user"], heavy, run)
-    total = {c: F.coalesce(F.col(c), F.lit(0)) for c in _TOTALS}
-    mean, std = _mean_and_std(total["n_24h"], total["s1"], total["s2"])
-    gap = (F.col("position") - F.col("seen.us")) / F.lit(float(US_PER_SECOND))
-    known = F.col("seen").isNotNull() & (gap <= history_seconds)
-    country = F.col("row").getField(cols.country)
-    moved = (
-        known
-        & (F.col("seen.country") != "")
-        & (F.col("seen.country") != country)
-        & (gap <= travel_seconds)
-    )
-    amount = F.col("row").getField(cols.amount)
-    return scanned.withColumns({"_mean": mean, "_std": std}).select(
-        "row.*",
-        (total["n_1h"] + 1).alias("txn_velocity_1h"),
-        (total["n_24h"] + 1).alias("txn_velocity_24h"),
-        rounded(F.col("_mean"), 6).alias("amount_mean_24h"),
-        rounded(F.col("_std"), 6).alias("amount_std_24h"),
-        zscore(amount, F.col("_mean"), F.col("_std")).alias("amount_zscore"),
-        (total["m_1h"] + F.col("new_1h")).alias("distinct_merchants_1h"),
-        (total["m_24h"] + F.col("new_24h")).alias("distinct_merchants_24h"),
-        F.when(F.coalesce(moved, F.lit(False)), 1).otherwise(0).cast("bigint").alias("impossible_travel_flag"),
-        F.when(known, rounded(gap, 3)).otherwise(F.lit(-1.0)).alias("seconds_since_last_txn"),
-        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in event_totals],
-        *event_lasts,
-    )
+    found: dict[str, Column] = {}
+    total = {c: F.coalesce(F.col(c), F.lit(0)) for c in totals}
+    if "velocity" in families:
+        found["txn_velocity_1h"] = total["n_1h"] + 1
+        found["txn_velocity_24h"] = total["n_24h"] + 1
+    if "amount" in families:
+        mean, std = _mean_and_std(total["n_24h"], total["s1"], total["s2"])
+        scanned = scanned.withColumns({"_mean": mean, "_std": std})
+        found["amount_mean_24h"] = rounded(F.col("_mean"), 6)
+        found["amount_std_24h"] = rounded(F.col("_std"), 6)
+        found["amount_zscore"] = zscore(F.col("row").getField(cols.amount), F.col("_mean"), F.col("_std"))
+    if "merchants" in families:
+        found["distinct_merchants_1h"] = total["m_1h"] + F.col("new_1h")
+        found["distinct_merchants_24h"] = total["m_24h"] + F.col("new_24h")
+    if "last" in families:
+        gap = (F.col("position") - F.col("seen.us")) / F.lit(float(US_PER_SECOND))
+        known = F.col("seen").isNotNull() & (gap <= history_seconds)
+        before, now = F.col("seen.country"), F.col("row").getField(cols.country)
+        moved = known & (before != "") & (before != now) & (gap <= travel_seconds)
+        travel = F.when(F.coalesce(moved, F.lit(False)), 1).otherwise(0)
+        found["impossible_travel_flag"] = travel.cast("bigint")
+        found["seconds_since_last_txn"] = F.when(known, rounded(gap, 3)).otherwise(F.lit(-1.0))
+    for c in event_totals:
+        found[c] = F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return scanned.select("row.*", *[c.alias(name) for name, c in found.items()], *event_lasts)
 
 
 def snapshot_columns(df: DataFrame) -> DataFrame:

@@ -43,9 +43,14 @@ def quantile_edges(values: DataFrame, buckets: int = PSI_BUCKETS) -> DataFrame:
     return small_table(found.select("feature", chosen.alias("edges")))
 
 
-def category_edges(values: DataFrame) -> DataFrame:
+def category_edges(values: DataFrame, max_values: int = 1000) -> DataFrame:
     """Edges at every value but the smallest, for features with few values; sees shifts that
-    quantile edges of a rare 0/1 feature cannot. Not the default."""
+    quantile edges of a rare 0/1 feature cannot. Not the default; refuses other features."""
+    values = values.select("feature", "value").distinct()
+    sizes = values.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    wide = [r.feature for r in sizes.where(F.col("n") > max_values).collect()]
+    if wide:
+        raise ValueError(f"more than {max_values} values, use quantile edges: {wide}")
     found = values.groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("edges"))
     return found.select("feature", F.slice("edges", F.lit(2), F.size("edges")).alias("edges"))
 

@@ -22,7 +22,7 @@ from ledgerwatch.operators import (
 from ledgerwatch.plans import reports
 from ledgerwatch.plans.snapshots import feature_snapshots
 from ledgerwatch.schema import FEATURE_COLUMNS, HOUR_US, MODEL_NAME, ONLINE_TTL_HOURS
-from ledgerwatch.session import persist_table, pin_utc
+from ledgerwatch.session import persist_table, pin_utc, small_table
 from ledgerwatch.sources import envelope, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,38 +126,44 @@ def feature_snapshots_query(spark, folder):
 _QUERIES["feature_snapshots"] = _QUERIES.pop("feature_snapshots_query")
 
 
-def _behaviour(spark, folder, *columns) -> DataFrame:
-    return bh.behaviour(tables.transactions(spark, folder)).select("txn_id", *columns)
+def _behaviour(spark, folder, family: str, inputs: list[str], *columns) -> DataFrame:
+    """One family of features, from the input columns it needs."""
+    rows = tables.transactions(spark, folder).select("txn_id", "user_id", "txn_timestamp", *inputs)
+    absent = {c: F.lit(None).cast(t) for c, t in _INPUTS.items() if c not in inputs}
+    return bh.behaviour(rows.withColumns(absent) if absent else rows, families=(family,)).select("txn_id", *columns)
+
+
+_INPUTS = {"amount": "double", "merchant_id": "string", "ip_country": "string"}
 
 
 @query
 def txn_velocity(spark, folder):
-    return _behaviour(spark, folder, "txn_velocity_1h", "txn_velocity_24h")
+    return _behaviour(spark, folder, "velocity", [], "txn_velocity_1h", "txn_velocity_24h")
 
 
 @query
 def amount_stats(spark, folder):
-    return _behaviour(spark, folder, "amount_mean_24h", "amount_std_24h")
+    return _behaviour(spark, folder, "amount", ["amount"], "amount_mean_24h", "amount_std_24h")
 
 
 @query
 def amount_zscore(spark, folder):
-    return _behaviour(spark, folder, "amount_zscore")
+    return _behaviour(spark, folder, "amount", ["amount"], "amount_zscore")
 
 
 @query
 def distinct_merchants(spark, folder):
-    return _behaviour(spark, folder, "distinct_merchants_1h", "distinct_merchants_24h")
+    return _behaviour(spark, folder, "merchants", ["merchant_id"], "distinct_merchants_1h", "distinct_merchants_24h")
 
 
 @query
 def seconds_since_last(spark, folder):
-    return _behaviour(spark, folder, "seconds_since_last_txn")
+    return _behaviour(spark, folder, "last", [], "seconds_since_last_txn")
 
 
 @query
 def impossible_travel(spark, folder):
-    return _behaviour(spark, folder, "impossible_travel_flag")
+    return _behaviour(spark, folder, "last", ["ip_country"], "impossible_travel_flag")
 
 
 def _purchases(spark: SparkSession, folder: str) -> DataFrame:
@@ -536,7 +542,8 @@ def score_batch(spark, folder):
 
 
 def _registry(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.model_registry(spark, folder)
+    """The stored registry, one row per model version."""
+    return _stored(spark, folder, "model_registry", lambda: tables.model_registry(spark, folder))
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -547,7 +554,8 @@ def _flat(df: DataFrame) -> DataFrame:
 def _challenger(spark: SparkSession, folder: str) -> DataFrame:
     """A retrained version 9 that takes over the measures of version 8."""
     old = _registry(spark, folder).where("model_version = '8'")
-    return old.withColumns({"model_version": F.lit("9"), "model_uri": F.lit(f"models:/{MODEL_NAME}/retrained")})
+    new = {"model_version": F.lit("9"), "model_uri": F.lit(f"models:/{MODEL_NAME}/retrained")}
+    return small_table(old.withColumns(new))
 
 
 @query
@@ -644,7 +652,7 @@ def shared_device_count(spark, folder):
 def shared_device_count_asof(spark, folder):
     txns = tables.transactions(spark, folder)
     events, arrivals = graph.shared_device_events(_edges(spark, folder))
-    rows = bh.behaviour(txns, user_events=events, event_totals=["devices_met"], event_lasts=["busy_set"])
+    rows = bh.behaviour(txns, families=(), user_events=events, event_totals=["devices_met"], event_lasts=["busy_set"])
     if arrivals is not None:
         rows = graph.add_busy_members(rows, arrivals)
     return rows.select("txn_id", F.col("devices_met").alias("shared_device_count"))
@@ -775,7 +783,7 @@ def drift_check(spark, folder):
 def drift_event(spark, folder):
     """The event log after appending the newest check."""
     events = tables.drift_events(spark, folder)
-    new = _drift_check(spark, folder).select(*events.columns)
+    new = small_table(_drift_check(spark, folder).select(*events.columns))
     return sinks.insert_ignore(events, new, ["checked_at", "model_version"])
 
 

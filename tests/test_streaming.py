@@ -117,3 +117,11 @@ def test_late_events(spark):
     rows = spark.createDataFrame([("a", 1, 100), ("b", 2, 69), ("c", 2, 70), ("d", 3, 500), ("e", 4, 400)], "txn_id string, batch int, s long")
     rows = rows.withColumn("ts", F.timestamp_seconds("s"))
     assert {r.txn_id for r in pipeline.late_events(rows, "batch", "ts", 30).collect()} == {"b", "e"}
+
+
+def test_same_instant_in_stream(spark, make_txns, tmp_path):
+    rows = make_txns([("a", "u", 0, 1.0, "m", "IN", "d"), ("b", "u", 0, 2.0, "n", "IN", "d"), ("c", "u", 9, 4.0, "m", "IN", "d"), ("end", "zz", END, 1.0, "m", "IN", "d")])
+    write_files(rows, tmp_path / "in", [["c", "b"], ["a"], ["end"]])
+    # "a" comes a batch later but within the watermark.
+    got = {tuple(r) for r in run(spark, tmp_path / "in", tmp_path).where("txn_id <> 'end'").collect()}
+    assert got == expected(rows)
