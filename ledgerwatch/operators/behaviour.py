@@ -127,19 +127,24 @@ def _moves(near: DataFrame, families: tuple[str, ...], extras: list[str]) -> Dat
         leaves_day["m_24h"] = -flag(nxt.isNull() | (nxt >= us + DAY_US))
         leaves_hour["m_1h"] = -flag(nxt.isNull() | (nxt > us + HOUR_US))
 
-    def move(position: Column, values: dict[str, Column]) -> Column:
-        filled = {c: values.get(c, F.lit(None)) for c in enters}
-        carried = {c: values.get(c, F.lit(None)) for c in extras}
-        return F.struct(position.alias("position"), *[v.alias(c) for c, v in {**filled, **carried}.items()])
-
-    txn = [move(us, enters)]
-    txn += [move(at, m) for at, m in ((us + DAY_US - 1, leaves_day), (us + HOUR_US, leaves_hour)) if m]
-    if not extras:
-        choice = F.array(*txn)
-    else:
-        event = move(us, {c: F.col(c) for c in extras})
-        choice = F.when(F.col("_row").isNull(), F.array(event)).otherwise(F.array(*txn))
-    return near.select("_user", "_txn", F.explode(choice).alias("_m")).select("_user", "_txn", "_m.*")
+    # 0 the transaction, 1 and 2 its leaving of the day and of the hour, 3 an event.
+    kind = F.col("_kind")
+    moves = [F.lit(0)] + [F.lit(k) for k, m in ((1, leaves_day), (2, leaves_hour)) if m]
+    choice = F.array(*moves)
+    if extras:
+        choice = F.when(F.col("_row").isNull(), F.array(F.lit(3))).otherwise(choice)
+    position = us + F.when(kind == 1, DAY_US - 1).when(kind == 2, HOUR_US).otherwise(0)
+
+    def by_kind(c: str) -> Column:
+        value = F.when(kind == 0, enters[c])
+        for k, m in ((1, leaves_day), (2, leaves_hour)):
+            if c in m:
+                value = value.when(kind == k, m[c])
+        return value
+
+    return near.select("*", F.explode(choice).alias("_kind")).select(
+        "_user", "_txn", position.alias("position"), *[by_kind(c).alias(c) for c in enters], *extras
+    )
 
 
 def behaviour(

@@ -52,7 +52,7 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         elif isinstance(field.dataType, T.DoubleType):
-            c = signals.rounded(c, 6) + F.lit(0.0)
+            c = signals.rounded(c, 6)
         out.append(c.alias(field.name))
     return df.select(*out)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerwatch.operators import graph
@@ -23,9 +25,12 @@ def feature_snapshots(
     Device and distance facts are dated per user and ride on the shuffle of the
     behavioural features; merchant exposure needs one more, by merchant.
     """
-    # Several features read the graph; it is stored once instead of being derived from the raw rows each time.
-    edges = persist_table(graph.build_edges(txns), "edges")
-    flagged = persist_table(graph.flagged_users(labels, txns), "flagged_users")
+    # Several features read the graph; it is stored once instead of being derived from the
+    # raw rows each time. The two tables do not depend on each other.
+    with ThreadPoolExecutor(2) as pool:
+        stored = pool.submit(persist_table, graph.build_edges(txns), "edges")
+        flagged = persist_table(graph.flagged_users(labels, txns), "flagged_users")
+        edges = stored.result()
     device_events, arrivals = graph.shared_device_events(edges, pair_limit)
     hop_events = graph.hop_events(graph.hop_ready(edges, flagged, etypes))
     events = device_events.unionByName(hop_events, allowMissingColumns=True)

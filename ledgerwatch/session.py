@@ -13,6 +13,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A long-lived session runs more different stages than the default 100 compiled classes.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
