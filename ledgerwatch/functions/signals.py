@@ -28,13 +28,14 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def rounded(c: Column, places: int) -> Column:
-    """Half-up rounding that treats a value within 1e-12 of a tie as the tie.
+    """Half-up rounding that treats a value within 1e-12, or a few units in its last place, of a tie as the tie.
 
     Plain double arithmetic: the built-in ``round`` goes through decimal text for
     every value, which would dominate the cost of a feature row.
     """
     scale = F.lit(float(10**places))
-    whole = F.rint(F.abs(c) * scale + F.lit(10.0 ** (places - 12)))
+    scaled = F.abs(c) * scale
+    whole = F.rint(scaled * F.lit(1 + 1e-15) + F.lit(10.0 ** (places - 12)))
     return F.signum(c) * whole / scale + F.lit(0.0)
 
 

@@ -127,3 +127,12 @@ def test_cold_vector(spark):
 def test_contract_fails_nulls(spark):
     row = spark.range(1).select(*[F.lit(1.0).alias(c) for c in FEATURE_COLUMNS[:-1]], F.lit(None).cast("double").alias(FEATURE_COLUMNS[-1]))
     assert checks.check_features(row).first().failed == [FEATURE_COLUMNS[-1]]
+
+
+def test_rounding_is_half_up(spark):
+    cases = [(30086.2585, 3, 30086.259), (-7.9140625, 6, -7.914063), (2.5e-7, 6, 0.0), (0.1234565, 6, 0.123457), (-1e-9, 6, 0.0), (12.0, 3, 12.0)]
+    cases += [(k / 1000 + 0.0005, 3, (k + 1) / 1000) for k in range(1, 90_000, 997)]
+    rows = spark.createDataFrame([(v, e) for v, p, e in cases if p == 3], "v double, e double")
+    assert rows.where(signals.rounded(F.col("v"), 3) != F.col("e")).count() == 0
+    six = spark.createDataFrame([(v, e) for v, p, e in cases if p == 6], "v double, e double")
+    assert six.where(signals.rounded(F.col("v"), 6) != F.col("e")).count() == 0
