@@ -7,7 +7,7 @@ with four fifths of its shingles over 1/5, and with 32 bands they meet with a pr
 where the window is the shingle). Retrieved templates are then verified: the share of their shingles that the document
 holds must be 0.8 or more.
 
-Only windows with an anchor word are hashed. Each shingle of each template holds an anchor, its longest word, so a window
+Only windows with an anchor word are hashed. Each shingle of each template holds an anchor, its longest rarer word, so a window
 without anchors shares no shingle with any template. This drops no match, whatever the texts are.
 
 DataFrame functions only. Only values of windows with anchors are joined with the templates; no text is shuffled.
@@ -29,6 +29,8 @@ SHINGLE = 5
 CONTAINED = 0.8
 BANDS = 32
 CLASSES = (1, 2, 4, 8, 16)
+#: Words that say little about licenses; a shingle takes another word as its anchor if it has one.
+COMMON = {"this", "that", "with", "from", "have", "which", "will", "under", "other", "above", "following", "into", "form", "work", "use"}
 # Notices as the licenses give them.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -86,12 +88,12 @@ def segments(templates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def anchors(templates: DataFrame) -> list[str]:
-    """The longest word of each template shingle. The templates are a given list, read by the driver as rules are."""
+    """The longest word of each template shingle that is not a common one. The templates are a given list, read by the driver as rules are."""
     words = templates.select(_words(F.coalesce("template", F.lit(""))).alias("words")).where(F.size("words") > 0)
     found = set()
     for (row,) in words.collect():
         for k in range(max(1, len(row) - SHINGLE + 1)):
-            found.add(max(row[k : k + SHINGLE], key=lambda w: (len(w), w)))
+            found.add(max(row[k : k + SHINGLE], key=lambda w: (w not in COMMON, len(w), w)))
     return sorted(found)
 
 
@@ -105,23 +107,27 @@ def license_scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).alias("doc_id"), id_key(doc_id).alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
     rows = rows.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(marks)})(?![a-z0-9])"))
     rows = rows.withColumn("words", _words(F.col("text"))).drop("text")
-    # Per word position whether it is an anchor, so that a window can tell by its slice.
-    rows = rows.withColumn("marks", F.transform("words", lambda w: w.isin(*marks)))
-    rows = rows.select("doc_id", "id", "row", "marks", _shingles(F.col("words")).alias("all"))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(F.col("words"), i).isin(*marks))
+    rows = rows.select("doc_id", "id", "row", F.size("words").alias("n"), places.alias("places"), _shingles(F.col("words")).alias("all"))
     rows = persist_table(rows, "anchored-texts")
+    last = F.greatest(F.col("n") - SHINGLE, F.lit(0))
 
-    last = F.greatest(F.size("all") - 1, F.lit(0))
-
-    def starts(width: int) -> Column:
-        """Windows of a class: (width, start, size)."""
+    def windows(width: int) -> Column:
+        """The MinHash values of the windows of a class whose shingles hold an anchor."""
         size = 2 * width if width > 1 else 1
-        return F.transform(F.sequence(F.lit(0), last, F.lit(width)), lambda s: F.struct(F.lit(width).alias("width"), s.alias("start"), F.lit(size).alias("size")))
 
-    every = rows.select("id", "row", "marks", "all", F.explode(F.concat(*[starts(c) for c in CLASSES])).alias("w"))
-    first, size = F.col("w.start") + 1, F.col("w.size")
-    held = F.exists(F.slice("marks", first, size + SHINGLE - 1), lambda m: m)
-    every = every.where(held).select("id", "row", "w.width", F.slice("all", first, size).alias("window"))
-    values = every.select("id", "row", "width", F.posexplode(_values(F.col("window"))).alias("band", "value"))
+        def around(place: Column) -> Column:
+            first = F.greatest(F.floor((place - (SHINGLE - 1) - size) / width) + 1, F.lit(0))
+            return F.sequence(first, F.floor(F.least(place, last) / width))
+
+        numbers = F.array_distinct(F.flatten(F.transform("places", around)))
+        return F.transform(
+            numbers,
+            lambda k: F.struct(F.lit(width).alias("width"), _values(F.slice("all", (k * width + 1).cast("int"), F.lit(size))).alias("values")),
+        )
+
+    hashed = rows.select("id", "row", F.explode(F.concat(*[windows(c) for c in CLASSES])).alias("w"))
+    values = hashed.select("id", "row", "w.width", F.posexplode("w.values").alias("band", "value"))
     shingles, bands = segments(templates)
     hits = values.join(bands, ["width", "band", "value"]).select("id", "row", "license").distinct()
     found = rows.join(hits, ["id", "row"]).join(shingles, "license")
