@@ -30,13 +30,15 @@ def ratio(part: Column, whole: Column) -> Column:
 def rounded(c: Column, places: int) -> Column:
     """Half-up rounding that treats a value within 1e-12, or a few units in its last place, of a tie as the tie.
 
-    Plain double arithmetic: the built-in ``round`` goes through decimal text for
+    What lifts a value to a tie never reaches a thousandth of the last place asked for, and values so
+    large that they have no such places stay as they are. Plain double arithmetic: the built-in ``round`` goes through decimal text for
     every value, which would dominate the cost of a feature row.
     """
     scale = F.lit(float(10**places))
     scaled = F.abs(c) * scale
-    whole = F.rint(scaled * F.lit(1 + 1e-15) + F.lit(10.0 ** (places - 12)))
-    return F.signum(c) * whole / scale + F.lit(0.0)
+    nudge = F.least(scaled * F.lit(1e-15) + F.lit(10.0 ** (places - 12)), F.lit(1e-3))
+    near = F.signum(c) * F.rint(scaled + nudge) / scale + F.lit(0.0)
+    return F.when(scaled < F.lit(2.0**51), near).otherwise(c)
 
 
 def hash_uniform(key: Column | str, salt: str = "") -> Column:

@@ -132,7 +132,7 @@ def retrain_decision(checks: DataFrame, events: DataFrame, as_of, cooldown_minut
     last = last_retrain(events.where(F.col("checked_at") <= F.lit(as_of))).scalar()
     resting = F.coalesce(F.lit(as_of) - last < F.make_dt_interval(mins=F.lit(cooldown_minutes)), F.lit(False))
     drifted = F.col("drift_detected")
-    reason = f"drift detected but retrain cooldown ({cooldown_minutes}min) still active"
+    reason = f"last retrain less than {cooldown_minutes} minutes ago"
     return checks.withColumns(
         {
             "retrain_triggered": drifted & ~resting,

@@ -21,7 +21,7 @@ def latest_per_user(
     snapshots: DataFrame, as_of, ttl_hours: float, user: str = "user_id", ts: str = "computed_at", tie: str = "txn_id"
 ) -> DataFrame:
     """The online view: each user's newest snapshot at ``as_of``, unless it has expired."""
-    oldest = F.lit(as_of) - F.make_dt_interval(hours=F.lit(int(ttl_hours)))
+    oldest = F.lit(as_of) - F.make_dt_interval(secs=F.lit(ttl_hours * 3600).cast("decimal(18,6)"))
     live = snapshots.where((F.col(ts) <= F.lit(as_of)) & (F.col(ts) >= oldest))
     return dedup_latest(live, [user], [F.desc(ts), F.desc(tie)])
 

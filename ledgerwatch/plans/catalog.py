@@ -35,7 +35,7 @@ def _at(text: str) -> Column:
 
 
 NOW = "2024-01-31 00:00:00"
-FLAGGED_BY = "2024-01-03 00:00:00"
+FLAGGED_BY = NOW
 SPLIT_AT = "2024-01-16 00:00:00"
 
 # Weights of the linear score that the attribution queries explain.

@@ -6,10 +6,10 @@ totals and counts, so agreement means something.
 
 from __future__ import annotations
 
-from ledgerwatch.schema import FEATURE_COLUMNS
+from ledgerwatch.schema import FEATURE_COLUMNS, HOME_COUNTRIES, MAX_AMOUNT, MODEL_NAME
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
-FLAGGED_BY = "TIMESTAMP '2024-01-03 00:00:00'"
+FLAGGED_BY = "TIMESTAMP '2024-01-31 00:00:00'"
 SPLIT_AT = "TIMESTAMP '2024-01-16 00:00:00'"
 
 _WEIGHTS = {c: round((-1) ** i * (i + 1) / 10, 1) for i, c in enumerate(FEATURE_COLUMNS)}
@@ -27,22 +27,22 @@ def _uniform(key: str) -> str:
     return _U.format(key=key)
 
 
-_HOME = "split_part('US,GB,IN,DE,BR,NG,SG,AU', ',', CAST({hi} + 1 AS INTEGER))"
+# A list of the fixed countries, as DuckDB writes lists.
+_COUNTRIES = str(HOME_COUNTRIES)
 
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "txns": (
         (),
-        """SELECT event_id, 'txn_' || event_id AS txn_id, uid AS user_id, value * 5 AS amount, 'INR' AS currency,
+        f"""SELECT event_id, 'txn_' || event_id AS txn_id, uid AS user_id, value * 5 AS amount, 'INR' AS currency,
           'merchant_' || regexp_extract(props, '([0-9]+)', 1) AS merchant_id,
           CASE event_type WHEN 'click' THEN 'electronics' WHEN 'purchase' THEN 'crypto' WHEN 'view' THEN 'groceries'
                WHEN 'signup' THEN 'travel' ELSE 'gaming' END AS merchant_category,
           ts AS txn_timestamp,
           CASE WHEN event_id % 50 = 0 THEN 'dev_s' || (event_id % 2000) ELSE 'dev_' || uid END AS device_id,
-          split_part('US,GB,IN,DE,BR,NG,SG,AU', ',',
-                     CAST((hi + CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END) % 8 + 1 AS INTEGER)) AS ip_country,
+          {_COUNTRIES}[(hi + CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END) % 8 + 1] AS ip_country,
           CASE event_id % 4 WHEN 0 THEN 'card_present' WHEN 1 THEN 'card_not_present' WHEN 2 THEN 'upi'
                ELSE 'login' END AS channel,
-          split_part('US,GB,IN,DE,BR,NG,SG,AU', ',', CAST(hi + 1 AS INTEGER)) AS home_country,
+          {_COUNTRIES}[hi + 1] AS home_country,
           epoch_us(ts) AS us
         FROM (SELECT *, 'user_' || user_id AS uid,
                 (position(right(sha256('user_' || user_id), 1) IN '0123456789abcdef') - 1) % 8 AS hi FROM events)""",
@@ -75,8 +75,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "registry": (
         ("scored",),
-        f"""SELECT 'fraud-xgb' AS model_name, CAST(v AS VARCHAR) AS model_version,
-          'models:/fraud-xgb/' || v AS model_uri, v > 4 AS is_active, created_at,
+        f"""SELECT '{MODEL_NAME}' AS model_name, CAST(v AS VARCHAR) AS model_version,
+          'models:/{MODEL_NAME}/' || v AS model_uri, v > 4 AS is_active, created_at,
           CASE WHEN v % 7 <> 0 THEN auc END AS auc, pr_auc,
           CASE WHEN v % 5 <> 0 THEN {r('0.3e0 + v / 100e0', 2)} END AS best_threshold
         FROM (SELECT day(scored_at) AS v, min(scored_at) AS created_at,
@@ -84,9 +84,14 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                 {r('avg(CASE WHEN is_flagged AND is_fraud THEN 1e0 ELSE 0e0 END)', 4)} AS pr_auc
               FROM scored GROUP BY 1)""",
     ),
+    "posterior": (
+        ("scored",),
+        """SELECT model_version, count(*) FILTER (is_flagged AND is_fraud) + 1e0 AS a,
+          count(*) FILTER (is_flagged <> is_fraud) + 1e0 AS b FROM scored GROUP BY 1""",
+    ),
     "challenger": (
         ("registry",),
-        """SELECT model_name, '9' AS model_version, 'models:/fraud-xgb/retrained' AS model_uri, is_active, created_at,
+        f"""SELECT model_name, '9' AS model_version, 'models:/{MODEL_NAME}/retrained' AS model_uri, is_active, created_at,
           auc, pr_auc, best_threshold FROM registry WHERE model_version = '8'""",
     ),
     "retired": (
@@ -250,7 +255,7 @@ _AMOUNT = "TRY_CAST(json_extract_string(data, '$.amount') AS DOUBLE)"
 _RULES = [
     *[_text_rule(f) for f in ("txn_id", "user_id")],
     f"""CASE WHEN json_type(data, '$.amount') IS NULL THEN 'missing:amount' WHEN {_AMOUNT} IS NULL THEN 'type:amount'
-         WHEN {_AMOUNT} < 0 THEN 'range:amount' END""",
+         WHEN {_AMOUNT} < 0 OR {_AMOUNT} >= {MAX_AMOUNT} THEN 'range:amount' END""",
     *[_text_rule(f) for f in ("currency", "merchant_id", "merchant_category")],
     f"""CASE WHEN json_type(data, '$.timestamp') IS NULL THEN 'missing:timestamp'
          WHEN NOT regexp_full_match({_TS}, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}Z')
@@ -404,7 +409,7 @@ _RECENT = f"scored_at >= {NOW} - INTERVAL 24 HOUR"
 _INFER = "coalesce(inference_latency_ms, latency_ms)"
 _HOPS = "CAST(CASE WHEN h2 THEN 2 WHEN h4 THEN 4 ELSE 0 END AS BIGINT) AS hop_distance_to_fraud"
 _SNAP_COLUMNS = ", ".join(FEATURE_COLUMNS)
-_DRIFT_REASON = "drift detected but retrain cooldown ({} min) still active".replace(" min", "min")
+_DRIFT_REASON = "last retrain less than {} minutes ago"
 
 
 def _rate(part: str, whole: str) -> str:
@@ -746,6 +751,19 @@ def oracle_sql() -> dict[str, str]:
           WHERE g.model_version IN ('7', '8', '9') GROUP BY 1""",
         "registry", "scored",
     )
+    # P(X > Y) of two beta variables with whole parameters, as a sum over the first parameter of X.
+    beta = "lgamma({0}) + lgamma({1}) - lgamma({0} + {1})"
+    term = (
+        f"exp({beta.format('(y.a + i)', '(x.b + y.b)')} - ln(x.b + i) "
+        f"- ({beta.format('(1e0 + i)', 'x.b')}) - ({beta.format('y.a', 'y.b')}))"
+    )
+    put(
+        "thompson_route",
+        f"""SELECT txn_id, CASE WHEN {_uniform('txn_id')} < (
+            SELECT sum({term}) FROM posterior x, posterior y, range(100000) g(i)
+            WHERE x.model_version = '8' AND y.model_version = '7' AND i < x.a) THEN '8' ELSE '7' END AS model_version FROM txns""",
+        "txns", "posterior",
+    )
     put("ab_route", f"SELECT txn_id, CASE WHEN ({_uniform('txn_id')}) * 100 < 30 THEN '8' ELSE '7' END AS model_version FROM txns", "txns")
 
     # graph

@@ -54,7 +54,9 @@ LIVE_HOURS = 6
 RETRAIN_COOLDOWN_MINUTES = 60
 KEEP_ACTIVE_MODELS = 3
 SERVING_MODELS = 2
-MODEL_NAME = "fraud-xgb"
+MODEL_NAME = "fraud-model"
+# Amounts from here on are quarantined: the exact sums of squares hold ten thousand smaller ones per window.
+MAX_AMOUNT = 1e11
 
 TXN_FIELDS = [
     "txn_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,10 +39,14 @@ def pin_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) falls back to
-    a temporary folder.
+    Only a local session without ``spark.checkpoint.dir``, as in tests, takes a temporary
+    folder; on a cluster executors and driver would each see another one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerwatch-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="ledgerwatch-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -11,8 +11,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8)
+def spark(tmp_path_factory):
+    return local_session(8, **{"spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri()})
 
 
 @pytest.fixture(scope="session")

@@ -75,6 +75,14 @@ def test_thompson_prefers_the_better_model_and_repeats(ids):
     assert 0.45 < even.where("model_version = 'x'").count() / 20_000 < 0.55
 
 
+@pytest.mark.parametrize("a, b, c, d", [(1, 1, 1, 1), (3, 7, 2, 9), (40, 12, 35, 20), (5, 200, 9, 180), (2, 50, 60, 3)])
+def test_win_probability(a, b, c, d):
+    rng = np.random.default_rng(3)
+    drawn = (rng.beta(a, b, 400_000) > rng.beta(c, d, 400_000)).mean()
+    assert routing.win_probability(a, b, c, d) == pytest.approx(drawn, abs=4e-3)
+    assert routing.win_probability(a, b, c, d) + routing.win_probability(c, d, a, b) == pytest.approx(1)
+
+
 @pytest.mark.parametrize("seen, thompson", [(29, False), (30, True)])
 def test_burn_in(spark, ids, seen, thompson):
     posteriors = spark.createDataFrame([("a", 0, seen + 1.0, 1.0), ("b", 1, 1.0, 1.0)], "model_version string, slot int, alpha double, beta double")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators import registry as rg
+from ledgerwatch.schema import MODEL_NAME
 from ledgerwatch.sources import sinks
 
 
@@ -45,7 +46,7 @@ def test_append_new_is_idempotent(spark, tmp_path):
 
 
 def models(spark, aucs, active=True):
-    rows = [("fraud-xgb", str(i), "uri", {"auc": a} if a is not None else {}, active, i) for i, a in enumerate(aucs)]
+    rows = [(MODEL_NAME, str(i), "uri", {"auc": a} if a is not None else {}, active, i) for i, a in enumerate(aucs)]
     df = spark.createDataFrame(rows, "model_name string, model_version string, model_uri string, metrics map<string,double>, is_active boolean, n int")
     return df.withColumn("created_at", F.timestamp_seconds("n")).drop("n")
 
