@@ -98,6 +98,8 @@ def report(paths: DataFrame, ledger: Ledger) -> DataFrame:
     named = F.transform(F.col("_all"), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     per_blob = current.groupBy("blob").agg(spans.alias("_all"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k, *_ in RULES])
     per_blob = per_blob.withColumn("spans", F.array_join(named, ",")).drop("_all")
+    # Stored first, so that the join is free to split a blob that very many documents hold.
+    per_blob = persist_table(per_blob, "blob-spans")
     counts = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k, *_ in RULES]
     return paths.join(per_blob, "blob", "left").select("doc_id", *counts, F.coalesce("spans", F.lit("")).alias("spans"))
 
