@@ -100,7 +100,7 @@ class CuckooFilter:
                 self.rest.remove(next(x for x in self.rest if x in ((a << 16) | m, (b << 16) | m)))
 
     def crowded(self) -> bool:
-        return len(self.rest) > 64 or np.count_nonzero(self.table) > 0.95 * self.table.size
+        return len(self.rest) > 64 or bool(np.count_nonzero(self.table) > 0.95 * self.table.size)
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         mark, first, second = self.places(keys)

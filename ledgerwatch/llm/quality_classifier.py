@@ -1,8 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 Two questions are asked of a document, each answered by labels: is its text good, and is it toxic. The evidence of the
-text is the sum of log likelihood ratios of the words and word shapes it holds, of those whose rates differ clearly
-between the labels. The site adds what is known of its host and path: the rate of a host is the mean of a beta
+text is the sum of log likelihood ratios of what it holds that speaks against it: words, word endings and shapes, and how
+much it repeats itself. Only what differs clearly between the labels counts, and nothing speaks for a text, so a long
+text cannot outweigh what is bad in it by many common words. The site adds what is known of its host and path: the rate of a host is the mean of a beta
 distribution whose prior is the rate of all labels, that of a path has its host's rate as prior, and how much a prior
 weighs follows from how much sites differ (method of moments). So a path without labels has its host's rate, and a host
 without labels the rate of all. The logit of a document is its evidence plus that of its path's rate.
@@ -29,8 +30,11 @@ from ledgerwatch.session import persist_table
 
 MAX_LABELLED = 50_000
 BUCKETS = 1 << 18
-#: Words whose rates differ by fewer standard errors say nothing.
+#: What has rates that differ by fewer standard errors, or by a smaller share of the documents, says nothing.
 CLEAR = 5.0
+SHARE = 0.02
+#: A smaller log likelihood ratio says nothing: a chance finding in few documents seldom reaches it.
+LEAST = 4.0
 _ENDS = ".,;:!?\"'()[]{}#%&*$|<>-_=+/\\~`"
 _REMEMBERED = 500_000
 
@@ -58,11 +62,19 @@ class _Words(dict):
 
 def features(text: str, words: _Words) -> list[int]:
     """The distinct buckets of a whole text."""
-    return list({b for w in set(text.split()) for b in words[w]})
+    all_words = text.split()
+    distinct = set(all_words)
+    found = {b for w in distinct for b in words[w]}
+    if len(all_words) >= 20:
+        size = len(all_words).bit_length()
+        again = sum(a == b for a, b in zip(all_words, all_words[1:]))
+        for name in (f"d{size}:{10 * len(distinct) // len(all_words)}", f"a{20 * again // len(all_words)}"):
+            found.add(zlib.crc32(name.encode()) % BUCKETS)
+    return list(found)
 
 
-def fit(labelled: DataFrame, text: str, label: str) -> np.ndarray:
-    """Log likelihood ratio per bucket from rows with a text and a label 0 or 1; unclear ones are 0."""
+def fit(labelled: DataFrame, text: str, label: str, against: int) -> np.ndarray:
+    """Log likelihood ratio of label 1 per bucket, of what is clearly more frequent under the label ``against``, else 0."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -86,8 +98,10 @@ def fit(labelled: DataFrame, text: str, label: str) -> np.ndarray:
     rate = (counts + 0.5) / (n[:, None] + 1)
     pooled = (counts.sum(axis=0) + 1) / (n.sum() + 2)
     error = np.sqrt(pooled * (1 - pooled) * (1 / n).sum())
-    clear = np.abs(rate[1] - rate[0]) > CLEAR * error
-    weights[clear] = np.log(rate[1, clear] / rate[0, clear])
+    clear = rate[against] - rate[1 - against] > np.maximum(CLEAR * error, SHARE)
+    ratio = np.log(rate[1] / rate[0])
+    clear &= np.abs(ratio) >= LEAST
+    weights[clear] = ratio[clear]
     return weights
 
 
@@ -167,7 +181,7 @@ def classify(
     given = given.where(F.col("_label_id").isNotNull() & F.col(good).isin(0, 1) & F.col(toxic).isin(0, 1))
     sample = F.broadcast(given.orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_labelled))
     known = docs.join(sample, F.col(doc_id) == F.col("_label_id")).select(F.col(text).alias("text"), good, toxic)
-    weights = {f"{good}_evidence": fit(known, "text", good), f"{toxic}_evidence": fit(known.where(F.col(good) == 1), "text", toxic)}
+    weights = {f"{good}_evidence": fit(known, "text", good, 0), f"{toxic}_evidence": fit(known.where(F.col(good) == 1), "text", toxic, 1)}
 
     sites = docs.select(F.col(doc_id).alias("_doc"), F.col(host).alias("host"), F.col(path).alias("path"))
     sites = sites.join(given, F.col("_doc") == F.col("_label_id"))

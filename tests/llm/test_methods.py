@@ -1,0 +1,210 @@
+"""The methods themselves: states that change and go back, indexes, reductions, large groups, the pipeline."""
+
+import itertools
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ledgerwatch.llm import exact_dedup, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash
+from ledgerwatch.llm.common import documents
+
+LINE = "A line of text that is surely longer than forty characters, number "
+
+
+def _cleaned(state, docs):
+    return {(r.doc_id, r.kept_text) for r in line_dedup.clean(state, docs).collect()}
+
+
+def test_lines_inserted_and_deleted_again(docs_of):
+    first = docs_of([(i, f"{LINE}1\nown {i}") for i in range(4)], extra=False)
+    more = docs_of([(i, f"{LINE}1\n{LINE}{i}") for i in range(4, 7)], extra=False)
+    state = line_dedup.start(first)
+    assert _cleaned(state, first) == {(i, f"{LINE}1\nown {i}") for i in range(4)}
+    grown = line_dedup.insert(state, more)
+    both = first.unionByName(more)
+    assert _cleaned(grown, both) == {(i, f"own {i}") for i in range(4)} | {(4, f"{LINE}4"), (5, f"{LINE}5"), (6, f"{LINE}1\n{LINE}6")}
+    # Without the keeper another document keeps the line; below the limit all do.
+    less = line_dedup.delete(grown, more.where("doc_id = 6"))
+    assert (5, f"{LINE}1\n{LINE}5") in _cleaned(less, both.where("doc_id < 6"))
+    back = line_dedup.delete(less, more.where("doc_id < 6"))
+    assert _cleaned(back, first) == _cleaned(state, first)
+    assert sorted(map(tuple, back.counts.drop("shard").collect())) == sorted(map(tuple, state.counts.drop("shard").collect()))
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, (6000, 2), dtype=np.int64).astype(np.uint64)
+    held = line_dedup.CuckooFilter.sized(5000)
+    held.insert(keys[:5000])
+    assert held.contains(keys[:5000]).all() and held.contains(keys[5000:]).mean() < 0.01
+    held.delete(keys[:2500])
+    assert held.contains(keys[2500:5000]).all() and held.contains(keys[:2500]).mean() < 0.01
+    full = line_dedup.CuckooFilter(4)
+    full.insert(keys[:40])
+    assert full.contains(keys[:40]).all() and full.crowded() and len(full.rest) >= 24
+    full.delete(keys[:40])
+    assert not full.table.any() and not full.rest
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_perfect_hash(n):
+    digests = np.random.default_rng(n).integers(0, 256, (n, 32), dtype=np.uint8)
+    levels, slots = exact_dedup.build_hash(digests)
+    assert sorted(slots) == list(range(n))
+    sizes, left = [], n
+    for packed in levels:
+        sizes.append(2 * left + 1)
+        left -= int(np.unpackbits(packed, count=sizes[-1]).sum())
+    held = np.zeros_like(digests)
+    held[slots] = digests
+    assert (exact_dedup.find_slots(levels, sizes, n, digests, held) == slots).all()
+    strangers = digests ^ np.uint8(1)
+    assert (exact_dedup.find_slots(levels, sizes, n, strangers, held) == -1).all()
+
+
+def test_history(docs_of):
+    past = exact_dedup.digest_rows(docs_of([(90, "a"), (80, "a"), (70, "b")]))
+    found = exact_dedup.exact_dedup(docs_of([(1, "a"), (2, "c"), (3, "c"), (4, "d")]), history=past)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in found.collect()} == {
+        (1, 90, 2, False), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True),
+    }
+
+
+def test_ledger_scans_each_blob_once_per_rules(docs_of, monkeypatch):
+    secret = "password=abcdefghijkl"
+    one = docs_of([(1, secret), (2, "plain")])
+    _, ledger = secret_scan.scan(one)
+    paths, later = secret_scan.scan(docs_of([(3, secret), (4, "AKIA" + "Z" * 16)]), ledger)
+    assert {(r.doc_id, r.spans) for r in secret_scan.report(paths, later).collect()} == {(3, "assign:0:21"), (4, "access:0:20")}
+    assert later.scanned.count() == 3 and later.findings.count() == 2
+    # Marked findings stay as the ledger has them: known blobs are not read again.
+    known = secret_scan.Ledger(ledger.scanned, ledger.findings.limit(0))
+    paths, after = secret_scan.scan(one, known)
+    assert after.findings.count() == 0
+    monkeypatch.setattr(secret_scan, "RULES_VERSION", 2)
+    paths, after = secret_scan.scan(one, known)
+    assert after.findings.count() == 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_close_to_the_best(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(5, 30) for _ in range(9)]
+    runs = packing.plan(Counter(sizes), 40)
+    assert Counter(dict(runs.groupby("length")["n"].sum())) == Counter(sizes)
+    used = int((runs["sequence"] + runs["n"] / runs["each"]).max())
+
+    def fits(bins):
+        room = [40] * bins
+
+        def place(k):
+            if k == len(order):
+                return True
+            for b in range(bins):
+                if room[b] >= order[k] and room[b] not in room[:b]:
+                    room[b] -= order[k]
+                    if place(k + 1):
+                        return True
+                    room[b] += order[k]
+            return False
+
+        order = sorted(sizes, reverse=True)
+        return place(0)
+
+    best = next(b for b in itertools.count(1) if fits(b))
+    assert best <= used <= best + 1
+    fixed, left = packing.reduce_sizes(Counter(sizes), 40)
+    # What the reduction fixes costs nothing: the rest still packs into the best number less the sets fixed.
+    rest = list(left.elements())
+    assert sum(t for _, t in fixed) + -(-sum(rest) // 40) <= best
+
+
+def test_near_copies_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    rng = random.Random(2)
+    centre = rng.getrandbits(64)
+    fps = {centre}
+    while len(fps) < 400:
+        x = rng.choice([centre, rng.getrandbits(64)])
+        for _ in range(rng.randint(1, 6)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
+    fps = sorted(fps)
+    root = {f: f for f in fps}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for k, a in enumerate(fps):
+        for b in fps[:k]:
+            if (a ^ b).bit_count() <= 4:
+                root[top(a)] = top(b)
+    signed = {f: f - 2**64 if f >= 2**63 else f for f in fps}
+    df = spark.createDataFrame([(signed[f],) for f in fps], "fp long")
+    found = {r.fp: r.root for r in simhash.components(simhash.near_links(df)).collect()}
+    groups = {}
+    for f in fps:
+        groups.setdefault(top(f), set()).add(found.get(signed[f], signed[f]))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_thresholds_follow_the_source(docs_of):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(4000)]
+
+    def text(marks):
+        return " ".join(w + ("#" if rng.random() < marks else "") for w in rng.choices(words, k=120))
+
+    # Code-like texts are usual in one source and out of place in the other.
+    rows = [(i, text(0.0), "en", "prose") for i in range(150)] + [(i, text(0.6), "en", "code") for i in range(200, 350)]
+    rows += [(900, text(0.6), "en", "prose"), (901, text(0.6), "en", "code")]
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs_of(rows, extra=False)).collect()}
+    assert kept[901] and not kept[900] and sum(kept.values()) >= 295
+
+
+def test_classifier_on_held_out_labels(spark, folder):
+    folder = folder.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = F.col("doc_id") % 5 == 0
+    found = quality_classifier.classify(documents(spark, folder), labels.where(~held)).join(labels.where(held), "doc_id").collect()
+    right = [r.kept == (r.quality == 1 and r.toxic == 0) for r in found]
+    clean = [r.kept for r in found if r.quality == 1 and r.toxic == 0]
+    toxic = [r.kept for r in found if r.toxic == 1]
+    assert np.mean(right) > 0.97 and np.mean(clean) > 0.97 and np.mean(toxic) < 0.1
+
+
+def test_pipeline(spark, folder):
+    docs, kept = documents(spark, folder), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = [tuple(r) for r in out.collect()]
+        kept[name] = rows
+        docs = spark.createDataFrame(rows, docs.schema)
+    before = {r.doc_id: r.text for r in documents(spark, folder).collect()}
+    verdict = {r.doc_id for r in quality_rules.quality_rules(documents(spark, folder)).where("kept").collect()}
+    assert {r[0] for r in kept["quality_rules"]} == verdict
+    largest = {}
+    for i in verdict:
+        largest[before[i]] = max(i, largest.get(before[i], i))
+    assert {r[0] for r in kept["exact_dedup"]} == set(largest.values())
+    marks = {i: simhash.fingerprint(before[i]) for i in largest.values()}
+    left = {i for i in marks}
+    for i in sorted(marks):
+        seen, todo = {i}, [i] if i in left else []
+        while todo:
+            a = todo.pop()
+            near = {b for b in left - seen if (marks[a] ^ marks[b]).bit_count() <= 4}
+            seen |= near
+            todo += near
+        left -= seen - {i} if i in left else set()
+    assert {r[0] for r in kept["simhash_near_dedup"]} == left
+    packed = corpus_pipeline.run(spark, folder).collect()
+    whole = Counter(r.doc_id for r in packed if r.piece == 0)
+    assert whole == Counter(r[0] for r in kept["mixing"])
