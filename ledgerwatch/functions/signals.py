@@ -37,7 +37,7 @@ def rounded(c: Column, places: int) -> Column:
     scale = F.lit(float(10**places))
     scaled = F.abs(c) * scale
     nudge = F.least(scaled * F.lit(1e-15) + F.lit(10.0 ** (places - 12)), F.lit(1e-3))
-    near = F.signum(c) * F.rint(scaled + nudge) / scale + F.lit(0.0)
+    near = F.signum(c) * F.floor(scaled + nudge + F.lit(0.5)) / scale + F.lit(0.0)
     return F.when(scaled < F.lit(2.0**51), near).otherwise(c)
 
 
