@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerwatch.functions.signals import micros, ratio, rounded, with_direct_signals, zscore
-from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, by_weight, heavy_keys, neighbours, prefix_scan
+from ledgerwatch.operators.segments import SEGMENT_ROWS, by_weight, cut_points, neighbours, prefix_scan
 from ledgerwatch.schema import (
     DAY_US,
     FEATURE_COLUMNS,
@@ -152,7 +152,7 @@ def behaviour(
     cols: Columns = Columns(),
     travel_seconds: float = TRAVEL_MAX_SECONDS,
     history_seconds: float = HISTORY_TTL_SECONDS,
-    min_rows: int = HEAVY_MIN_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
     families: tuple[str, ...] = FAMILIES,
     user_events: DataFrame | None = None,
     event_totals: list[str] = (),
@@ -168,14 +168,15 @@ def behaviour(
     extras = [*event_totals, *event_lasts]
     totals = list(dict.fromkeys(c for f in families for c in _TOTALS[f]))
     lasts = ["seen"] if "last" in families else []
-    heavy = heavy_keys(df.select(F.col(cols.user).alias("_user")), ["_user"], min_rows)
+    times = df.select(F.col(cols.user).alias("_user"), micros(cols.ts).alias("_us"))
+    cuts = cut_points(times, ["_user"], "_us", segment_rows)
 
-    def run(rows: DataFrame, segmented: bool) -> DataFrame:
-        if not segmented:
+    def run(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
+        if cuts is None:
             # Placed by user once; all windows below only sort.
             rows = rows.repartition("_user")
         if "merchants" in families:
-            rows = neighbours(rows, ["_user", "_merchant"], "_us", "_txn", segmented)
+            rows = neighbours(rows, ["_user", "_merchant"], "_us", "_txn", cuts, ["_user"])
         return prefix_scan(
             _moves(rows, families, extras),
             ["_user"],
@@ -183,10 +184,10 @@ def behaviour(
             totals=[*totals, *event_totals],
             lasts=[*lasts, *event_lasts],
             tie="_txn",
-            segmented=segmented,
+            cuts=cuts,
         ).where(F.col("row").isNotNull())
 
-    scanned = by_weight(_base_rows(df, cols, user_events), ["_user"], heavy, run)
+    scanned = by_weight(_base_rows(df, cols, user_events), ["_user"], cuts, run)
     found: dict[str, Column] = {}
     total = {c: F.coalesce(F.col(c), F.lit(0)) for c in totals}
     if "velocity" in families:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerwatch.functions.signals import micros
-from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, by_weight, heavy_from_counts, prefix_scan
+from ledgerwatch.operators.segments import SEGMENT_ROWS, cut_points, prefix_scan
 from ledgerwatch.schema import EDGE_TYPES
 from ledgerwatch.session import persist_table
 
@@ -170,10 +170,10 @@ def shared_device_events(edges: DataFrame, pair_limit: int = PAIR_LIMIT) -> tupl
     return events, arrivals
 
 
-def add_busy_members(df: DataFrame, arrivals: DataFrame) -> DataFrame:
+def add_busy_members(df: DataFrame, arrivals: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Adds the members of the row's ``busy_set`` at its ``txn_timestamp`` to ``devices_met``.
 
-    Busy sets are large by definition, so each is cut into time segments.
+    Busy sets are large by definition, so each is cut where many members arrive.
     """
     # Rows without a busy set ask under a key of their own instant, where nobody arrives.
     alone = F.concat_ws("\x1e", F.lit(""), "user_id", "txn_id")
@@ -183,7 +183,8 @@ def add_busy_members(df: DataFrame, arrivals: DataFrame) -> DataFrame:
         F.struct(*[F.col(c) for c in df.columns]).alias("row"),
     )
     moves = queries.unionByName(arrivals, allowMissingColumns=True)
-    counted = prefix_scan(moves, ["busy_set"], "position", ["arrived"], inclusive=True, segmented=True)
+    cuts = cut_points(arrivals, ["busy_set"], "position", segment_rows)
+    counted = prefix_scan(moves, ["busy_set"], "position", ["arrived"], inclusive=True, cuts=cuts)
     counted = counted.where(F.col("row").isNotNull())
     others = F.coalesce(F.col("arrived") - 1, F.lit(0))
     return counted.select("row.*", others.alias("_others")).select(
@@ -203,9 +204,12 @@ def merchant_fraud_count(edges: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def merchant_fraud_asof(
-    df: DataFrame, edges: DataFrame, flagged: DataFrame, min_rows: int = HEAVY_MIN_ROWS
+    df: DataFrame, edges: DataFrame, flagged: DataFrame, segment_rows: int = SEGMENT_ROWS, times: DataFrame | None = None
 ) -> DataFrame:
-    """Adds the flagged users seen at the row's merchant up to and including its instant."""
+    """Adds the flagged users seen at the row's merchant up to and including its instant.
+
+    ``times`` has the merchants and instants of ``df`` where these are cheaper to read elsewhere.
+    """
     exposure = (
         of_type(edges, "TRANSACTED_AT")
         .join(flagged, "user_id")
@@ -220,14 +224,10 @@ def merchant_fraud_asof(
         micros("txn_timestamp").alias("position"),
         F.struct(*[F.col(c) for c in df.columns]).alias("row"),
     )
-    # The edge table knows the rows per merchant already.
-    rows = of_type(edges, "TRANSACTED_AT").groupBy(F.col("entity_id").alias("_merchant"))
-    heavy = heavy_from_counts(rows.agg(F.sum("txns").alias("_rows")), ["_merchant"], min_rows)
-
-    def run(moves: DataFrame, segmented: bool) -> DataFrame:
-        return prefix_scan(moves, ["_merchant"], "position", ["flagged"], inclusive=True, segmented=segmented)
-
-    counted = by_weight(queries.unionByName(exposure, allowMissingColumns=True), ["_merchant"], heavy, run)
+    times = (df if times is None else times).select(F.col("merchant_id").alias("_merchant"), micros("txn_timestamp").alias("position"))
+    cuts = cut_points(times, ["_merchant"], "position", segment_rows)
+    moves = queries.unionByName(exposure, allowMissingColumns=True)
+    counted = prefix_scan(moves, ["_merchant"], "position", ["flagged"], inclusive=True, cuts=cuts)
     return counted.where(F.col("row").isNotNull()).select(
         "row.*", F.coalesce("flagged", F.lit(0)).cast("bigint").alias("shared_merchant_fraud_count")
     )

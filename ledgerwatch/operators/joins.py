@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerwatch.functions.signals import micros
-from ledgerwatch.operators.segments import HEAVY_MIN_ROWS, by_weight, heavy_keys, prefix_scan
+from ledgerwatch.operators.segments import SEGMENT_ROWS, cut_points, prefix_scan
 
 
 def dedup_latest(df: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
@@ -35,7 +35,7 @@ def asof_join(
     keep: list[str],
     max_age_us: int | None = None,
     tie: str = "txn_id",
-    min_rows: int = HEAVY_MIN_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """All rows of ``left`` with ``keep`` from the newest row of ``right`` at or before them.
 
@@ -56,12 +56,9 @@ def asof_join(
         F.struct(F.lit(1).alias("side"), F.lit("").alias("id")).alias("_tie"),
         F.struct(*[F.col(c) for c in left.columns]).alias("row"),
     )
-    heavy = heavy_keys(left.select(F.col(key).alias("_key")).unionAll(right.select(key)), ["_key"], min_rows)
-
-    def run(moves: DataFrame, segmented: bool) -> DataFrame:
-        return prefix_scan(moves, ["_key"], "position", lasts=["found"], tie="_tie", segmented=segmented)
-
-    rows = by_weight(updates.unionByName(asks, allowMissingColumns=True), ["_key"], heavy, run)
+    moves = updates.unionByName(asks, allowMissingColumns=True)
+    cuts = cut_points(moves.select("_key", "position"), ["_key"], "position", segment_rows)
+    rows = prefix_scan(moves, ["_key"], "position", lasts=["found"], tie="_tie", cuts=cuts)
     rows = rows.where(F.col("row").isNotNull())
     fresh = F.col("found").isNotNull()
     if max_age_us is not None:

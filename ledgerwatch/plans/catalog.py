@@ -161,6 +161,17 @@ def seconds_since_last(spark, folder):
     return _behaviour(spark, folder, "last", [], "seconds_since_last_txn")
 
 
+@query
+def one_user_features(spark, folder):
+    """All transactions as one user's, who is cut into segments."""
+    rows = tables.transactions(spark, folder).withColumn("user_id", F.lit("all"))
+    cut = bh.behaviour(rows, segment_rows=100)
+    return cut.select(
+        "txn_id", "txn_velocity_1h", "txn_velocity_24h", "amount_mean_24h", "amount_std_24h", "distinct_merchants_1h",
+        "distinct_merchants_24h", "impossible_travel_flag", "seconds_since_last_txn",
+    )
+
+
 @query
 def impossible_travel(spark, folder):
     return _behaviour(spark, folder, "last", ["ip_country"], "impossible_travel_flag")
@@ -514,18 +525,24 @@ def topk_attributions(spark, folder):
     return rows.select("txn_id", "place", "t.feature", size.alias("attribution"), "t.feature_value")
 
 
-def _fitted(spark: SparkSession, folder: str):
-    """Frame and models trained on the stored snapshots; bounded depth and rounds keep the check short."""
+def _training_frame(spark: SparkSession, folder: str) -> DataFrame:
     frame = scoring.stratified_split(scoring.training_frame(snapshots(spark, folder), tables.labels(spark, folder)))
-    frame = persist_table(frame, "training_frame")
-    few = {"min_rows": 200}
-    return frame, scoring.train_gbt(frame, rounds=10, depth=3, **few), scoring.train_linear(frame, **few)
+    return persist_table(frame, "training_frame")
+
+
+# The given tables start at a few hundred labeled rows.
+FEW_ROWS = 200
+
+
+def fitted_linear(spark: SparkSession, folder: str):
+    return scoring.train_linear(_training_frame(spark, folder), min_rows=FEW_ROWS)
 
 
 @query
 def train_gbt(spark, folder):
     """Test-set measures of a model fitted on the labeled snapshots."""
-    frame, trees, _ = _fitted(spark, folder)
+    frame = _training_frame(spark, folder)
+    trees = scoring.train_gbt(frame, min_rows=FEW_ROWS)
     held = scoring.score(trees, frame.where("part = 'test'"), "gbt")
     ranked = mt.auc(held, "fraud_probability", "is_fraud").scalar()
     return mt.classification_metrics(held, "fraud_probability", "is_fraud").withColumn("auc", ranked)
@@ -534,7 +551,7 @@ def train_gbt(spark, folder):
 @query
 def score_batch(spark, folder):
     """Every transaction scored with the snapshot known at its instant."""
-    _, _, linear = _fitted(spark, folder)
+    linear = fitted_linear(spark, folder)
     vectors = signals.vector_columns(_asof(spark, folder, ["snapshot_key", *FEATURE_COLUMNS]))
     scored = scoring.score(linear, vectors, "linear")
     return scored.select("txn_id", "fraud_probability", "is_flagged", "model_version", "is_cold_start")

@@ -203,6 +203,8 @@ def _snapshots_sql(source: str) -> str:
 _GRAPH = ("device_pairs", "exposure", "two_hops", "four_hops")
 _CTES["beh"] = (("txns",), _behaviour_sql("txns"))
 _CTES["shifted_beh"] = (("shifted_txns",), _behaviour_sql("shifted_txns"))
+_CTES["one_user"] = (("txns",), "SELECT * REPLACE ('all' AS user_id) FROM txns")
+_CTES["one_user_beh"] = (("one_user",), _behaviour_sql("one_user"))
 _CTES["snaps"] = (("beh", *_GRAPH), _snapshots_sql("beh"))
 _CTES["shifted_snaps"] = (("shifted_beh", *_GRAPH), _snapshots_sql("shifted_beh"))
 
@@ -444,6 +446,12 @@ def oracle_sql() -> dict[str, str]:
         "impossible_travel": "impossible_travel_flag",
     }.items():
         put(name, f"SELECT txn_id, {columns} FROM beh", "beh")
+    put(
+        "one_user_features",
+        """SELECT txn_id, txn_velocity_1h, txn_velocity_24h, amount_mean_24h, amount_std_24h, distinct_merchants_1h,
+          distinct_merchants_24h, impossible_travel_flag, seconds_since_last_txn FROM one_user_beh""",
+        "one_user_beh",
+    )
     put(
         "purchase_behaviour",
         f"""SELECT user_id, count(*) AS purchases, CAST(sum(txn_velocity_24h) AS BIGINT) AS velocity,

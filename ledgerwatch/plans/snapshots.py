@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerwatch.operators import graph
 from ledgerwatch.operators.behaviour import behaviour, snapshot_columns, snapshot_input
-from ledgerwatch.operators.segments import HEAVY_MIN_ROWS
+from ledgerwatch.operators.segments import SEGMENT_ROWS
 from ledgerwatch.schema import EDGE_TYPES
 from ledgerwatch.session import persist_table
 
@@ -17,7 +17,7 @@ def feature_snapshots(
     txns: DataFrame,
     labels: DataFrame,
     etypes: list[str] = EDGE_TYPES,
-    min_rows: int = HEAVY_MIN_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
     pair_limit: int = graph.PAIR_LIMIT,
 ) -> DataFrame:
     """One snapshot per transaction, as it could have been known at that instant.
@@ -36,14 +36,14 @@ def feature_snapshots(
     events = device_events.unionByName(hop_events, allowMissingColumns=True)
     rows = behaviour(
         snapshot_input(txns),
-        min_rows=min_rows,
+        segment_rows=segment_rows,
         user_events=events,
         event_totals=["devices_met", "two_hops", "four_hops"],
         event_lasts=["busy_set"],
     )
     if arrivals is not None:
-        rows = graph.add_busy_members(rows, arrivals)
-    rows = graph.merchant_fraud_asof(rows, edges, flagged, min_rows)
+        rows = graph.add_busy_members(rows, arrivals, segment_rows)
+    rows = graph.merchant_fraud_asof(rows, edges, flagged, segment_rows, txns)
     rows = rows.withColumns(
         {
             "shared_device_count": F.col("devices_met"),

@@ -83,9 +83,9 @@ def brute_force(rows):
     return out
 
 
-@pytest.mark.parametrize("min_rows", [10**9, 20])
-def test_hot_user_equals_brute_force(make_txns, min_rows):
-    """A third of the rows are one user's; with ``min_rows`` 20 that user is cut into segments."""
+@pytest.mark.parametrize("segment_rows", [10**9, 20])
+def test_hot_user_equals_brute_force(make_txns, segment_rows):
+    """A third of the rows are one user's; with ``segment_rows`` 20 that user is cut into segments."""
     rng = random.Random(7)
     rows = []
     for i in range(600):
@@ -97,6 +97,6 @@ def test_hot_user_equals_brute_force(make_txns, min_rows):
             r.txn_velocity_1h, r.txn_velocity_24h, round(r.amount_mean_24h, 4), round(r.amount_std_24h, 4),
             r.distinct_merchants_1h, r.distinct_merchants_24h, r.seconds_since_last_txn, r.impossible_travel_flag,
         )
-        for r in behaviour(make_txns(rows), min_rows=min_rows).collect()
+        for r in behaviour(make_txns(rows), segment_rows=segment_rows).collect()
     }
     assert got == brute_force(rows)

@@ -95,13 +95,13 @@ def test_flagged_alone_and_together(spark, make_txns):
     assert {r.user_id: r.hop_distance_to_fraud for r in got} == {"u1": 0, "u2": 2, "u3": 2}
 
 
-@pytest.mark.parametrize("min_rows", [10**9, 20])
-def test_merchant_exposure_asof(spark, make_txns, min_rows):
+@pytest.mark.parametrize("segment_rows", [10**9, 20])
+def test_merchant_exposure_asof(spark, make_txns, segment_rows):
     rows = make_rows()
     flagged = {f"u{i}": i * 200 for i in range(0, 30, 4)}
     users = spark.createDataFrame([(u, BASE_US + at * 1_000_000) for u, at in flagged.items()], "user_id string, flagged_at long")
     txns = make_txns(rows)
-    df = graph.merchant_fraud_asof(txns, graph.build_edges(txns), users, min_rows)
+    df = graph.merchant_fraud_asof(txns, graph.build_edges(txns), users, segment_rows)
     got = {r.txn_id: r.shared_merchant_fraud_count for r in df.collect()}
     expected = {
         r[0]: len({o[1] for o in rows if o[4] == r[4] and o[2] <= r[2] and flagged.get(o[1], 10**9) <= r[2]}) for r in rows

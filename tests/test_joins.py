@@ -13,14 +13,14 @@ def times(spark, rows, names):
     return df.withColumn("ts", F.timestamp_micros(F.col("us") * 1_000_000 + BASE_US)).drop("us")
 
 
-@pytest.mark.parametrize("min_rows", [10**9, 10])
-def test_asof_equals_brute_force(spark, min_rows):
+@pytest.mark.parametrize("segment_rows", [10**9, 10])
+def test_asof_equals_brute_force(spark, segment_rows):
     rng = random.Random(5)
     key = lambda i: "hot" if i % 3 == 0 else f"k{rng.randrange(8)}"
     left = [(f"l{i}", key(i), rng.randrange(0, 300_000, 500)) for i in range(200)]
     right = [(f"r{i:03d}", key(i), rng.randrange(0, 300_000, 500)) for i in range(150)]
     asked, known = times(spark, left, ["txn_id", "user_id"]), times(spark, right, ["snap", "user_id"])
-    got = asof_join(asked, known.withColumnRenamed("ts", "at"), "user_id", "ts", "at", ["snap"], 48 * HOUR_US, tie="snap", min_rows=min_rows)
+    got = asof_join(asked, known.withColumnRenamed("ts", "at"), "user_id", "ts", "at", ["snap"], 48 * HOUR_US, tie="snap", segment_rows=segment_rows)
 
     def expected(k, s):
         earlier = [(t, r) for r, rk, t in right if rk == k and t <= s]
