@@ -11,8 +11,10 @@ from ledgerwatch.functions.signals import rounded
 from ledgerwatch.operators.metrics import ks_two_sample
 from ledgerwatch.operators.ordering import percentiles
 from ledgerwatch.schema import (
+    BASELINE_HOURS,
     DRIFT_MIN_ROWS,
     FEATURE_COLUMNS,
+    LIVE_HOURS,
     PSI_BUCKETS,
     PSI_DRIFT,
     PSI_FLOOR,
@@ -23,6 +25,21 @@ from ledgerwatch.schema import (
 from ledgerwatch.session import small_table
 
 
+def _hours(n: int) -> Column:
+    return F.make_dt_interval(hours=F.lit(n))
+
+
+def reference_window(df: DataFrame, model: DataFrame, ts: str, hours: int = BASELINE_HOURS) -> DataFrame:
+    """Rows of the ``hours`` before the model, a table of one row, was created; none without a model."""
+    created = model.select("created_at").scalar()
+    return df.where((F.col(ts) >= created - _hours(hours)) & (F.col(ts) < created))
+
+
+def live_window(df: DataFrame, as_of, ts: str, hours: int = LIVE_HOURS) -> DataFrame:
+    """Rows of the last ``hours`` up to ``as_of``."""
+    return df.where((F.col(ts) >= F.lit(as_of) - _hours(hours)) & (F.col(ts) <= F.lit(as_of)))
+
+
 def long_form(df: DataFrame, features: list[str] = FEATURE_COLUMNS) -> DataFrame:
     values = df.select(*[F.col(c).cast("double").alias(c) for c in features])
     return values.unpivot([], features, "feature", "value")

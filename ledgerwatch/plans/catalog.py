@@ -724,6 +724,17 @@ def feature_psi(spark, folder):
     return _feature_psi(spark, folder).withColumn("band", drift.psi_band(F.col("psi")))
 
 
+@query
+def windowed_psi(spark, folder):
+    """The last hours against the three days before the newest active model was created."""
+    rows = snapshots(spark, folder)
+    base = drift.long_form(drift.reference_window(rows, rg.active_model(_registry(spark, folder)), "txn_timestamp"))
+    live = drift.long_form(drift.live_window(rows, _at(NOW), "txn_timestamp"))
+    edges = drift.quantile_edges(base)
+    found = drift.psi(drift.bucket_probs(base, edges), drift.bucket_probs(live, edges))
+    return found.withColumn("band", drift.psi_band(F.col("psi")))
+
+
 @query
 def drift_summary(spark, folder):
     return drift.drift_summary(_feature_psi(spark, folder))

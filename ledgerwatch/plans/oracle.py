@@ -327,6 +327,23 @@ _CTES["psi"] = (
     f"""SELECT b.feature, {r('sum((l.prob - b.prob) * ln(l.prob / b.prob))', 5)} AS psi FROM base_probs b
       JOIN live_probs l ON l.feature = b.feature AND l.bucket = b.bucket GROUP BY 1""",
 )
+# The same over the three days before the newest active model and the last six hours.
+_CTES["created"] = (("registry",), "SELECT max(created_at) AS made FROM registry WHERE is_active")
+for _part, _inside in {
+    "base": "txn_timestamp >= made - INTERVAL 72 HOUR AND txn_timestamp < made",
+    "live": f"txn_timestamp >= {NOW} - INTERVAL 6 HOUR AND txn_timestamp <= {NOW}",
+}.items():
+    _CTES[f"w_{_part}_long"] = (
+        ("snaps", "created"),
+        f"""UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURE_COLUMNS)} FROM snaps, created
+        WHERE {_inside}) ON {', '.join(FEATURE_COLUMNS)} INTO NAME feature VALUE value""",
+    )
+for _name in ("psi_edges", "base_probs", "live_probs", "psi"):
+    _sources = ("psi_edges", "base_long", "live_long", "base_probs", "live_probs")
+    _needs, _body = _CTES[_name]
+    for _source in _sources:
+        _body = _body.replace(_source, f"w_{_source}")
+    _CTES[f"w_{_name}"] = (tuple(f"w_{n}" for n in _needs), _body)
 _CTES["ks"] = (
     ("preds",),
     f"""SELECT max(abs(ca / na - cb / nb)) AS ks FROM (
@@ -808,6 +825,7 @@ def oracle_sql() -> dict[str, str]:
     put("psi_bucket_probs", f"SELECT feature, bucket, {r('prob')} AS prob FROM live_probs", "live_probs")
     band = "CASE WHEN {0} >= 0.25 THEN 'drift' WHEN {0} >= 0.1 THEN 'watch' ELSE 'stable' END AS band"
     put("feature_psi", f"SELECT feature, psi, {band.format('psi')} FROM psi", "psi")
+    put("windowed_psi", f"SELECT feature, psi, {band.format('psi')} FROM w_psi", "w_psi")
     put(
         "drift_summary",
         f"""SELECT max(psi) AS max_feature_psi, {r('avg(psi)')} AS mean_feature_psi, {band.format('max(psi)')},

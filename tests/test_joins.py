@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators.joins import asof_join, dedup_latest, latest_per_user
+from ledgerwatch.operators.segments import cut_points
 from ledgerwatch.schema import DAY_US, HOUR_US
 from tests.conftest import BASE_US
 
@@ -48,3 +49,19 @@ def test_latest_expires(spark):
     rows = times(spark, [("a", "u", 0), ("b", "v", 100_000)], ["txn_id", "user_id"])
     got = latest_per_user(rows, F.timestamp_micros(F.lit(BASE_US + 200_000 * 1_000_000)), 48, ts="ts").collect()
     assert [r.user_id for r in got] == ["v"]
+
+
+def test_large_keys_are_cut_by_their_own_rows(spark):
+    """A key whose rows crowd into a few seconds is cut as evenly as one spread over a year; small keys are not."""
+    burst = [("burst", 10**15 + i) for i in range(3000)]
+    spread = [("spread", i * 10**10) for i in range(3000)]
+    rows = spark.createDataFrame(burst + spread + [("small", i) for i in range(50)], "k string, at long")
+    assert cut_points(rows, ["k"], "at", 10**6) is None
+    cuts = {r.k: r["_cuts"] for r in cut_points(rows, ["k"], "at", 100).collect()}
+    assert set(cuts) == {"burst", "spread"}
+    for key, start, step in (("burst", 10**15, 1), ("spread", 0, 10**10)):
+        ends = [(c - start) // step for c in cuts[key]] + [2999]
+        sizes = [b - a for a, b in zip([-1, *ends], ends)]
+        assert len(ends) == 256 and max(sizes) < 30
+    empty = spark.createDataFrame([], "k string, at long")
+    assert cut_points(empty, ["k"], "at", 100) is None
