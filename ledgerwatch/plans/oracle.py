@@ -203,7 +203,7 @@ def _snapshots_sql(source: str) -> str:
 _GRAPH = ("device_pairs", "exposure", "two_hops", "four_hops")
 _CTES["beh"] = (("txns",), _behaviour_sql("txns"))
 _CTES["shifted_beh"] = (("shifted_txns",), _behaviour_sql("shifted_txns"))
-_CTES["one_user"] = (("txns",), "SELECT * REPLACE ('all' AS user_id) FROM txns")
+_CTES["one_user"] = (("txns",), "SELECT * REPLACE (user_id[1:5] AS user_id) FROM txns")
 _CTES["one_user_beh"] = (("one_user",), _behaviour_sql("one_user"))
 _CTES["snaps"] = (("beh", *_GRAPH), _snapshots_sql("beh"))
 _CTES["shifted_snaps"] = (("shifted_beh", *_GRAPH), _snapshots_sql("shifted_beh"))
