@@ -62,10 +62,12 @@ def _matches(no: int, kind: str, pattern: str, group: int) -> Column:
 
 
 def find(blobs: DataFrame) -> DataFrame:
-    """(blob, kind, kind_no, start, end) of the matches in rows (blob, text)."""
+    """(blob, kind, kind_no, start, end) of the matches in rows (blob, text); a blob in several rows counts once."""
     empty = F.lit(None).cast("array<struct<kind_no:int,kind:string,nth:int,gap:int,size:int,value:int>>")
     found = [F.coalesce(_matches(no, kind, pattern, group), empty, F.array()) for no, (kind, pattern, group, _) in enumerate(RULES)]
     rows = blobs.select("blob", F.explode(F.concat(*found)).alias("m")).select("blob", "m.*").where("size is not null")
+    # Rows of one blob have equal matches. Without this the sums below would add up those of all its rows.
+    rows = rows.distinct()
     upto = Window.partitionBy("blob", "kind_no").orderBy("nth")
     end = F.sum(F.col("gap") + F.col("size")).over(upto)
     least = F.create_map(*[F.lit(x) for kind, _, _, size in RULES for x in (kind, size)])
@@ -81,9 +83,9 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, doc_id: str = "doc_id",
     if ledger is not None:
         unseen = unseen.join(ledger.scanned.where(F.col("rules") == RULES_VERSION), "blob", "left_anti")
     unseen = persist_table(unseen, "unseen-blobs")
-    # One row per id and blob: documents find their text by hash, without sorting texts.
+    # One id per blob: documents find their text by hash, without sorting texts. Rows repeated with id and text all pass.
     texts = docs.select(id_key(doc_id).alias("id"), blob_of(text).alias("blob"), text_of(text).alias("text"))
-    found = find(texts.join(unseen.hint("shuffle_hash"), ["id", "blob"], "left_semi")).distinct()
+    found = find(texts.join(unseen.hint("shuffle_hash"), ["id", "blob"], "left_semi"))
     found = found.withColumn("rules", F.lit(RULES_VERSION))
     scanned = unseen.select("blob", F.lit(RULES_VERSION).alias("rules"))
     if ledger is not None:
