@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerwatch.llm.common import documents
 from ledgerwatch.llm.exact_dedup import exact_dedup
-from ledgerwatch.llm.license_scan import license_scan, license_templates
+from ledgerwatch.llm.license_scan import license_scan, registered_templates
 from ledgerwatch.llm.line_dedup import line_dedup
 from ledgerwatch.llm.mixing import MAX_EPOCHS, SEED, mix
 from ledgerwatch.llm.packing import pack
@@ -53,7 +53,7 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return license_scan(documents(spark, folder), license_templates(spark))
+    return license_scan(documents(spark, folder), registered_templates(spark))
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
