@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerwatch.llm.alignment import alignment
 from ledgerwatch.llm.common import documents
+from ledgerwatch.llm.decontamination import WINDOW, overlaps
 from ledgerwatch.llm.exact_dedup import exact_dedup
+from ledgerwatch.llm.hard_negatives import LOWER, NEGATIVES, POSITIVES, SCALE, hard_negatives
 from ledgerwatch.llm.license_scan import license_scan, registered_templates
 from ledgerwatch.llm.line_dedup import line_dedup
 from ledgerwatch.llm.mixing import MAX_EPOCHS, SEED, mix
@@ -27,6 +30,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -76,6 +85,29 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", _sha(F.col("spans")).alias("base_sha256"), "spans")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, moved)
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment(documents(spark, folder), vocabulary(), pieces())
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    rows = overlaps(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        _sha(F.array_join("items", ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
@@ -90,6 +122,9 @@ def queries() -> dict[str, Query]:
         op8_quality_rules,
         op9_exact_dedup,
         op10_secret_scan,
+        op11_hard_negatives,
+        op12_alignment,
+        op13_decontamination,
     ]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
@@ -253,6 +288,55 @@ FROM texts LEFT JOIN found USING (doc_id)
 """
 
 
+OP11 = f"""
+WITH fit AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM fit a JOIN fit r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES}
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER pair AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scores s USING (anchor_id)
+WHERE NOT s.same AND 100 * s.score BETWEEN {LOWER} * positive_score AND 100 * positive_score
+WINDOW pair AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER pair <= {NEGATIVES}
+"""
+
+_PLAIN_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, lower({_UPPER})),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+OP13 = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS words FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_PLAIN_WORDS} AS words FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(words), {WINDOW}) AS size, array_to_string(words[i:i + least(len(words), {WINDOW}) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - {WINDOW} + 1, 1) + 1)) AS i FROM items WHERE len(words) > 0)
+), places AS (
+  SELECT r, size, i, array_to_string(words[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM texts, (SELECT DISTINCT size FROM windows))
+), found AS (
+  SELECT r, i, size, item FROM places JOIN windows USING (size, phrase)
+), hit AS (
+  SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS word FROM found) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1,
@@ -260,4 +344,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": _op8(),
         "op9_exact_dedup": OP9,
         "op10_secret_scan": _op10(),
+        "op11_hard_negatives": OP11,
+        "op13_decontamination": OP13,
     }
