@@ -12,6 +12,7 @@ TABLES = (
 ).split()
 KINDS = {
     "bigint": "BIGINT",
+    "int": "INTEGER",
     "double": "DOUBLE",
     "string": "VARCHAR",
     "boolean": "BOOLEAN",
