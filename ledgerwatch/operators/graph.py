@@ -304,3 +304,45 @@ def hop_events(ready: DataFrame) -> DataFrame:
     )
     events = ready.select(F.col("user_id").alias("_user"), F.explode(steps).alias("s"))
     return events.select("_user", "s.*").where(F.col("position").isNotNull())
+
+
+# -- all three, for given transactions ---------------------------------------------------
+
+
+def graph_asof(
+    df: DataFrame,
+    edges: DataFrame,
+    flagged: DataFrame,
+    etypes: list[str] = EDGE_TYPES,
+    pair_limit: int = PAIR_LIMIT,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Adds the three graph features of the transactions in ``df`` at their instants.
+
+    ``edges`` and ``flagged`` may know more than ``df``, as in a stream, where ``df`` is a batch: only the users of
+    ``df`` are scanned.
+    """
+    events, arrivals = shared_device_events(edges, pair_limit)
+    events = events.unionByName(hop_events(hop_ready(edges, flagged, etypes)), allowMissingColumns=True)
+    users = df.select(F.col("user_id").alias("_user")).distinct()
+    events = events.join(users, "_user", "left_semi").withColumn("position", F.col("position") - 1)
+    queries = df.select(
+        F.col("user_id").alias("_user"),
+        F.col("txn_id").alias("_txn"),
+        micros("txn_timestamp").alias("position"),
+        F.struct(*[F.col(c) for c in df.columns]).alias("row"),
+    )
+    moves = queries.unionByName(events, allowMissingColumns=True)
+    cuts = cut_points(queries, ["_user"], "position", segment_rows)
+    counts = ["devices_met", "two_hops", "four_hops"]
+    rows = prefix_scan(moves, ["_user"], "position", counts, ["busy_set"], "_txn", cuts=cuts).where(F.col("row").isNotNull())
+    rows = rows.select("row.*", "busy_set", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
+    rows = add_busy_members(rows, arrivals, segment_rows) if arrivals is not None else rows.drop("busy_set")
+    rows = merchant_fraud_asof(rows, edges, flagged, segment_rows, df)
+    rows = rows.withColumns(
+        {
+            "shared_device_count": F.col("devices_met"),
+            "hop_distance_to_fraud": hops(F.col("two_hops") > 0, F.col("four_hops") > 0),
+        }
+    )
+    return rows.drop(*counts)

@@ -24,6 +24,18 @@ FEATURE_COLUMNS = [
     "is_high_risk_category",
 ]
 
+# Those of them that are no whole numbers.
+REAL_FEATURES = [
+    "amount_mean_24h",
+    "amount_std_24h",
+    "amount_zscore",
+    "seconds_since_last_txn",
+    "is_foreign_ip",
+    "log_amount",
+    "is_card_not_present",
+    "is_high_risk_category",
+]
+
 # Domains.
 HOME_COUNTRIES = ["US", "GB", "IN", "DE", "BR", "NG", "SG", "AU"]
 CHANNELS = ["card_present", "card_not_present", "upi", "login"]

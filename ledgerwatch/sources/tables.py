@@ -162,7 +162,11 @@ def drift_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """JSON wire messages built from the events, with one known defect in part of them."""
-    t = transactions(spark, folder, True)
+    return as_payloads(transactions(spark, folder, True))
+
+
+def as_payloads(t: DataFrame) -> DataFrame:
+    """Wire messages of transactions with their ``event_id``, a table or a stream."""
     defect = F.col("event_id") % 40
 
     def text(name: str) -> Column:
