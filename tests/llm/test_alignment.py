@@ -54,8 +54,8 @@ def restated(rows):
                 common = sorted(set(ends_a) & set(ends_b))
                 by_a, by_b = defaultdict(list), defaultdict(list)
                 for by, ends, side in ((by_a, ends_a, a), (by_b, ends_b, b)):
-                    for end, token in zip(ends, side):
-                        by[next(c for c in common if c >= end)].append(token) if len(common) < 50 else by[common[np.searchsorted(common, end)]].append(token)
+                    for k, token in zip(np.searchsorted(np.array(common), ends).tolist(), side):
+                        by[common[k]].append(token)
                 groups = [(by_a[c], by_b[c]) for c in common]
         pairs = [(ids[0][x], ids[1][y]) for x, y in links]
         held.update(set(pairs))
