@@ -30,17 +30,10 @@ def average_precision(df: DataFrame, score: str, label: str, keys: list[str] = (
     """Sum over distinct scores, highest first, of the gain in recall times the precision there."""
     keys = list(keys)
     points = _by_score(df, score, label, keys)
-    sizes = df.where(F.col(score).isNotNull()).groupBy(*keys).agg(
-        F.sum(_count(F.col(label))).alias("all_pos"), F.count(F.lit(1)).alias("all_rows")
-    )
-    if keys:
-        points = points.join(sizes, keys)
-    else:
-        size = sizes.select(F.struct("all_pos", "all_rows")).scalar()
-        points = points.withColumn("size", size).select("*", "size.*")
-    tp = F.col("all_pos") - F.col("pos_before")
-    flagged = F.col("all_rows") - F.col("pos_before") - F.col("neg_before")
-    gain = ratio(F.col("pos"), F.col("all_pos")) * ratio(tp, flagged)
+    all_pos, all_rows = F.col("pos_total"), F.col("pos_total") + F.col("neg_total")
+    tp = all_pos - F.col("pos_before")
+    flagged = all_rows - F.col("pos_before") - F.col("neg_before")
+    gain = ratio(F.col("pos"), all_pos) * ratio(tp, flagged)
     return points.groupBy(*keys).agg(F.sum(gain).alias("average_precision"))
 
 
@@ -134,12 +127,9 @@ def ks_two_sample(df: DataFrame, value: str, is_live: str, min_rows: int = KS_MI
     """
     weights = {"a": _count(~F.col(is_live)), "b": _count(F.col(is_live))}
     points = cumulative_by_value(df, value, weights)
-    sides = df.where(F.col(value).isNotNull()).agg(*[F.sum(w).alias(f"n{n}") for n, w in weights.items()])
-    points = points.withColumn("size", sides.select(F.struct("na", "nb")).scalar()).select("*", "size.*")
-    gap = F.abs(
-        ratio(F.col("a_before") + F.col("a"), F.col("na")) - ratio(F.col("b_before") + F.col("b"), F.col("nb"))
-    )
-    found = points.agg(F.max(gap).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    na, nb = F.col("a_total"), F.col("b_total")
+    gap = F.abs(ratio(F.col("a_before") + F.col("a"), na) - ratio(F.col("b_before") + F.col("b"), nb))
+    found = points.agg(F.max(gap).alias("d"), F.max(na).alias("na"), F.max(nb).alias("nb"))
     enough = (F.col("na") >= min_rows) & (F.col("nb") >= min_rows)
     scale = F.sqrt(ratio(F.col("na") * F.col("nb"), F.col("na") + F.col("nb")))
     return found.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerwatch.functions.signals import inference_ms, ratio, rounded, sla_met
 from ledgerwatch.operators.metrics import confusion
-from ledgerwatch.operators.ordering import percentiles
+from ledgerwatch.operators.ordering import percentiles, selected
 from ledgerwatch.schema import SLA_MS
 
 
@@ -22,25 +22,31 @@ def latency_percentiles(predictions: DataFrame, keys: list[str] = (), column: st
     return percentiles(predictions, column, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, list(keys))
 
 
+def _mean_sums(name: str, value: Column) -> dict[str, Column]:
+    """What a mean is made of, as totals."""
+    return {f"{name}_sum": value.cast("double"), f"{name}_n": F.when(value.isNotNull(), 1).otherwise(0)}
+
+
 def stats_overview(predictions: DataFrame, as_of, hours: float = 1) -> DataFrame:
-    recent = _recent(predictions, as_of, hours).withColumn("inference_ms", inference_ms())
-    whole = percentiles(recent, "latency_ms", {"p95": 0.95, "p99": 0.99}).select(F.struct("p95", "p99"))
-    model = percentiles(recent, "inference_ms", {"p99": 0.99})
-    base = recent.agg(
-        F.count(F.lit(1)).alias("total_predictions"),
-        _count(F.col("is_flagged")).alias("total_flagged"),
-        rounded(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
-        rounded(F.avg("inference_ms"), 3).alias("avg_inference_ms"),
-        _count(sla_met("latency_ms")).alias("met"),
-    )
-    return base.withColumn("whole", whole.scalar()).select(
-        "total_predictions",
+    recent = _recent(predictions, as_of, hours)
+    latency, model = F.col("latency_ms"), inference_ms()
+    measures = {"latency": (latency, {"p95": 0.95, "p99": 0.99}), "model": (model, {"p99_model": 0.99})}
+    totals = {
+        "total_predictions": F.lit(1).cast("bigint"),
+        "total_flagged": F.when(F.col("is_flagged"), 1).otherwise(0),
+        "met": F.when(sla_met("latency_ms"), 1).otherwise(0),
+        **_mean_sums("latency", latency),
+        **_mean_sums("model", model),
+    }
+    found = selected(recent, measures, totals=totals)
+    return found.select(
+        F.coalesce("total_predictions", F.lit(0)).alias("total_predictions"),
         "total_flagged",
-        "avg_latency_ms",
-        rounded(F.col("whole.p95"), 2).alias("p95_latency_ms"),
-        rounded(F.col("whole.p99"), 2).alias("p99_latency_ms"),
-        "avg_inference_ms",
-        rounded(model.scalar(), 3).alias("p99_inference_ms"),
+        rounded(ratio(F.col("latency_sum"), F.col("latency_n")), 2).alias("avg_latency_ms"),
+        rounded(F.col("p95"), 2).alias("p95_latency_ms"),
+        rounded(F.col("p99"), 2).alias("p99_latency_ms"),
+        rounded(ratio(F.col("model_sum"), F.col("model_n")), 3).alias("avg_inference_ms"),
+        rounded(F.col("p99_model"), 3).alias("p99_inference_ms"),
         (ratio(F.col("met"), F.col("total_predictions")) * 100).alias("sla_compliance_pct"),
     )
 
@@ -65,31 +71,30 @@ def flag_rate_pct(predictions: DataFrame, as_of, hours: float = 1, newest: int =
 
 
 def latency_timeseries(predictions: DataFrame, as_of, hours: float = 1, newest: int = 60) -> DataFrame:
-    rows = _per_minute(predictions, as_of, hours).select("minute", "latency_ms", inference_ms().alias("inference_ms"))
-    shown = rows.select("minute").distinct().orderBy(F.desc("minute")).limit(newest)
-    rows = rows.join(F.broadcast(shown), "minute", "left_semi")  # at most ``newest`` rows
-    means = rows.groupBy("minute").agg(
-        rounded(F.avg("latency_ms"), 2).alias("avg_ms"), rounded(F.avg("inference_ms"), 3).alias("avg_inference_ms")
-    )
-    whole = percentiles(rows, "latency_ms", {"p95": 0.95, "p99": 0.99}, ["minute"])
-    model = percentiles(rows, "inference_ms", {"p99_model": 0.99}, ["minute"])
-    return means.join(whole, "minute").join(model, "minute").select(
+    rows = _per_minute(predictions, as_of, hours)
+    latency, model = F.col("latency_ms"), inference_ms()
+    measures = {"latency": (latency, {"p95": 0.95, "p99": 0.99}), "model": (model, {"p99_model": 0.99})}
+    totals = {**_mean_sums("latency", latency), **_mean_sums("model", model)}
+    # One row per minute is left to be ordered.
+    return selected(rows, measures, ["minute"], totals).orderBy(F.desc("minute")).limit(newest).select(
         "minute",
-        "avg_ms",
+        rounded(ratio(F.col("latency_sum"), F.col("latency_n")), 2).alias("avg_ms"),
         rounded(F.col("p95"), 2).alias("p95_ms"),
         rounded(F.col("p99"), 2).alias("p99_ms"),
-        "avg_inference_ms",
+        rounded(ratio(F.col("model_sum"), F.col("model_n")), 3).alias("avg_inference_ms"),
         rounded(F.col("p99_model"), 3).alias("p99_inference_ms"),
     )
 
 
 def latency_summary(df: DataFrame, column: str = "latency_ms", sla: float = SLA_MS) -> DataFrame:
-    marks = latency_percentiles(df, column=column).select(F.struct("p50", "p95", "p99"))
-    base = df.agg(
-        F.count(column).alias("requests"), F.avg(column).alias("mean"), F.max(column).alias("max")
-    ).withColumn("marks", marks.scalar())
-    return base.select(
-        "requests", "mean", "max", "marks.p50", "marks.p95", "marks.p99", (F.col("marks.p99") <= sla).alias("within_sla")
+    value = F.col(column)
+    measures = {column: (value, {"p50": 0.5, "p95": 0.95, "p99": 0.99, "max": 1.0})}
+    found = selected(df, measures, totals=_mean_sums("value", value))
+    return found.select(
+        F.coalesce("value_n", F.lit(0)).alias("requests"),
+        ratio(F.col("value_sum"), F.col("value_n")).alias("mean"),
+        "max", "p50", "p95", "p99",
+        (F.col("p99") <= sla).alias("within_sla"),
     )
 
 

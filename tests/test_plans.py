@@ -47,3 +47,11 @@ def test_window_scan_is_pushed_down(spark):
 def test_rank_filters_run_before_the_shuffle(spark, folder):
     text = plan(QUERIES["dedup_latest"](spark, folder))
     assert text.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("name", ["latency_timeseries", "stats_overview", "latency_summary", "latency_percentiles", "average_precision", "auc"])
+def test_ranks_take_three_scans(spark, folder, name):
+    """Of the events; what is joined to them for a metric is read as often."""
+    text = plan(QUERIES[name](spark, folder))
+    scans = text.count("FileScan parquet")
+    assert scans <= (6 if name in ("auc", "average_precision") else 3)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators import drift, metrics
-from ledgerwatch.operators.ordering import percentiles
+from ledgerwatch.operators.ordering import code_of, cumulative_by_value, percentiles, selected
 from ledgerwatch.session import small_table  # noqa: F401
 
 
@@ -153,3 +153,60 @@ def test_failed_retrain_starts_no_cooldown(spark):
     events = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS checked_at, false AS retrain_triggered")
     check = spark.sql("SELECT true AS drift_detected")
     assert drift.retrain_decision(check, events, F.lit("2024-01-01 00:01:00").cast("timestamp")).first().retrain_triggered
+
+
+ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2e-308, 1e-300, 1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 0), -1.0, 1e308, 1.7976931348623157e308, -1e308, float("inf"), float("-inf")]
+
+
+def test_codes_grow_with_values(spark):
+    rng = np.random.default_rng(8)
+    close = np.concatenate([x * (1 + np.arange(200) * 2.0**-52) for x in rng.lognormal(0, 50, 20)])
+    values = np.sort(np.concatenate([ODD, rng.normal(0, 1, 2000), rng.lognormal(0, 200, 2000), -rng.lognormal(0, 200, 2000), close]))
+    found = frame(spark, v=values).select("v", code_of(F.col("v")).alias("code")).toPandas().sort_values("v")
+    codes = found["code"].to_numpy()
+    assert (np.diff(codes) >= 0).all() and len(np.unique(codes)) > 4000
+    assert spark.createDataFrame([(float("nan"),)], "v double").select(code_of(F.col("v"))).first()[0] > codes.max()
+
+
+def test_percentiles_of_odd_values(spark):
+    """Values of one code, of all sizes, ties and nulls; a key without values has no row."""
+    rng = np.random.default_rng(12)
+    groups = {
+        "close": 1.0 + np.arange(3000) * 2.0**-52,
+        "wide": np.concatenate([rng.lognormal(0, 200, 500), -rng.lognormal(0, 200, 500), [0.0] * 100]),
+        "odd": np.array([x for x in ODD if abs(x) < 1e300]),
+        "ties": rng.integers(-2, 3, 999).astype(float),
+        "one": np.array([4.5]),
+    }
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("none", None), ("one", None), (None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in percentiles(df, "v", {"p0": 0.0, "p37": 0.37, "p95": 0.95, "p100": 1.0}, ["g"]).collect()}
+    assert set(got) == set(groups) | {None}
+    groups[None] = np.array([2.0, 4.0])
+    for g, v in groups.items():
+        expected = np.quantile(v, [0, 0.37, 0.95, 1])
+        assert [got[g].p0, got[g].p37, got[g].p95, got[g].p100] == pytest.approx(expected, rel=1e-12, abs=0), g
+    assert percentiles(df.where("v is null"), "v", {"p50": 0.5}).first().p50 is None
+
+
+def test_several_measures_and_totals(spark):
+    rows = [("a", 1.0, None), ("a", 3.0, None), ("b", 2.0, 7.0), ("b", None, 9.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    measures = {"x": (F.col("x"), {"x50": 0.5}), "y": (F.col("y"), {"y50": 0.5, "y100": 1.0})}
+    got = selected(df, measures, ["g"], {"n": F.lit(1), "s": F.col("x")}).drop("_most")
+    assert {tuple(r) for r in got.collect()} == {("a", 2.0, None, None, 2, 4.0), ("b", 2.0, 8.0, 9.0, 2, 2.0)}
+    nothing = selected(df.where("g = 'a'"), {"y": measures["y"]}, totals={"n": F.lit(1)}).first()
+    assert (nothing.y50, nothing.n) == (None, 2)
+    assert selected(df.limit(0), measures, totals={"n": F.lit(1)}).count() == 1
+
+
+def test_cumulative_sums_by_value(spark):
+    rng = np.random.default_rng(21)
+    values = np.concatenate([1.0 + np.arange(300) * 2.0**-52, rng.normal(0, 1, 500).round(1), rng.lognormal(0, 100, 200)])
+    keys = rng.choice(["p", "q"], len(values))
+    df = frame(spark, g=keys, v=values)
+    got = cumulative_by_value(df, "v", {"n": F.lit(1)}, ["g"]).collect()
+    assert len(got) == len({(k, v) for k, v in zip(keys, values)})
+    for r in got:
+        mine = values[keys == r.g]
+        assert (r.n, r.n_before, r.n_total) == ((mine == r.v).sum(), (mine < r.v).sum(), len(mine))
