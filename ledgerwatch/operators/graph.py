@@ -1,8 +1,9 @@
 """Features of the user / device / merchant / country graph.
 
 The graph is an edge table, one row per user and entity. No operator lists the
-pairs of users that share a busy entity: its members are counted, and only
-entities with few members are joined with themselves.
+pairs of users that share a busy entity: its members are counted, as bits or as
+dated arrivals. Only the point-in-time form joins entities with few members with
+themselves.
 """
 
 from __future__ import annotations
@@ -89,28 +90,52 @@ def _members(sets: DataFrame, busy: DataFrame) -> DataFrame:
     )
 
 
-def shared_device_count(edges: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def _alike(shared: DataFrame) -> DataFrame:
+    """(user_id, rep): users of the same set of devices have the same representative, one of them.
+
+    Sets are told apart by two 64-bit checksums of their devices and their sizes, so that a set of any size is one row.
+    """
+    marks = shared.groupBy("user_id").agg(
+        F.bit_xor(F.xxhash64("device")).alias("a"), F.bit_xor(F.xxhash64("device", F.lit("set"))).alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    reps = marks.groupBy("a", "b", "n").agg(F.min("user_id").alias("rep"))
+    return marks.join(reps, ["a", "b", "n"]).select("user_id", "rep")
+
+
+def device_cells(shared: DataFrame, alike: DataFrame) -> DataFrame:
+    """(device, bucket, bits): the members of each device as bits, 64 users to a bucket.
+
+    Users are numbered in the order of their representatives, so that users of the same devices share buckets. A device
+    has at most one cell per member, and down to one for 64 members.
+    """
+    ordered = alike.repartitionByRange("rep", "user_id").sortWithinPartitions("rep", "user_id")
+    # Numbers have to be the same for all that reads them: stored.
+    numbered = persist_table(ordered.select("user_id", "rep", F.monotonically_increasing_id().alias("number")), "user_numbers")
+    members = shared.join(numbered, "user_id")
+    bit = F.expr("shiftleft(1L, CAST(number % 64 AS INT))")
+    return members.groupBy("device", F.floor(F.col("number") / 64).alias("bucket")).agg(F.bit_or(bit).alias("bits"))
+
+
+def set_cells(shared: DataFrame, alike: DataFrame) -> DataFrame:
+    """(rep, bucket, bits) of each device of each set: what is or-ed to the members of the set."""
+    sets = shared.join(alike.where(F.col("user_id") == F.col("rep")).select("rep", "user_id"), "user_id").select("rep", "device")
+    return sets.join(device_cells(shared, alike), "device")
+
+
+def shared_device_count(edges: DataFrame) -> DataFrame:
     """Distinct other users on any of the user's devices, for every user of the graph.
 
-    Users on busy devices: all members of the user's set of busy devices, counted
-    once per set, plus the users met on quiet devices that are not among them.
+    Devices of a single user count for nothing and go first. The members of each distinct set of devices are or-ed once,
+    64 of them in a number, for all users of the set; no pairs of users are made.
     """
-    quiet, busy = _split_devices(edges, pair_limit)
-    mine = _busy_of_user(busy).select("user_id", F.col("busy.device").alias("devices"))
-    mine = mine.withColumn("set_key", F.array_join("devices", "\x1f"))
-    sets = mine.select("set_key", "devices").distinct()
-    members = _members(sets, busy).groupBy("set_key").agg(F.count(F.lit(1)).alias("members"))
-
-    mine_of = mine.select("user_id", "devices")
-    other_of = mine.select(F.col("user_id").alias("other"), F.col("devices").alias("other_devices"))
-    met = _pairs(quiet).join(mine_of, "user_id", "left").join(other_of, "other", "left")
-    counted = F.coalesce(F.arrays_overlap("devices", "other_devices"), F.lit(False))
-    on_quiet = met.where(~counted).groupBy("user_id").agg(F.count(F.lit(1)).alias("met"))
-    on_busy = mine.join(members, "set_key").select("user_id", (F.col("members") - 1).alias("met"))
-
-    total = on_quiet.unionByName(on_busy).groupBy("user_id").agg(F.sum("met").alias("met"))
+    devices = of_type(edges, "USED_DEVICE").select("user_id", F.col("entity_id").alias("device"), "first_seen")
+    several = devices.groupBy("device").agg(F.count(F.lit(1)).alias("users")).where("users > 1").select("device")
+    shared = persist_table(devices.join(several, "device").select("user_id", "device"), "shared_devices")
+    alike = persist_table(_alike(shared), "alike_users")
+    members = set_cells(shared, alike).groupBy("rep", "bucket").agg(F.bit_or("bits").alias("bits"))
+    counts = members.groupBy("rep").agg((F.sum(F.bit_count("bits")) - 1).alias("met"))
     users = edges.select("user_id").distinct()
-    return users.join(total, "user_id", "left").select(
+    return users.join(alike.join(counts, "rep").select("user_id", "met"), "user_id", "left").select(
         "user_id", F.coalesce("met", F.lit(0)).cast("bigint").alias("shared_device_count")
     )
 

@@ -667,10 +667,30 @@ def shared_device_count(spark, folder):
     return graph.shared_device_count(_edges(spark, folder))
 
 
+def _few_devices(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions of a population that shares seven devices, in all combinations."""
+    rows = tables.transactions(spark, folder, keep_event_id=True)
+    return rows.withColumn("device_id", F.concat(F.lit("dev_"), (F.col("event_id") % 7).cast("string"))).drop("event_id")
+
+
+@query
+def busy_device_count(spark, folder):
+    return graph.shared_device_count(graph.build_edges(_few_devices(spark, folder)))
+
+
+@query
+def busy_device_count_asof(spark, folder):
+    txns = _few_devices(spark, folder)
+    return _devices_asof(txns, persist_table(graph.build_edges(txns), "few_devices"))
+
+
 @query
 def shared_device_count_asof(spark, folder):
-    txns = tables.transactions(spark, folder)
-    events, arrivals = graph.shared_device_events(_edges(spark, folder))
+    return _devices_asof(tables.transactions(spark, folder), _edges(spark, folder))
+
+
+def _devices_asof(txns: DataFrame, edges: DataFrame) -> DataFrame:
+    events, arrivals = graph.shared_device_events(edges)
     rows = bh.behaviour(txns, families=(), user_events=events, event_totals=["devices_met"], event_lasts=["busy_set"])
     if arrivals is not None:
         rows = graph.add_busy_members(rows, arrivals)

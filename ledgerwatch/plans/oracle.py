@@ -286,13 +286,21 @@ _CTES["wire_txns"] = (
           epoch_us(date_trunc('second', t.txn_timestamp)) AS us)
         FROM txns t JOIN validated v ON v.event_id = t.event_id WHERE v.ok""",
 )
-_ON_WIRE = ("txns", "beh", "edges", "device_pairs", "user_pairs", "two_hops", "four_hops", "exposure", "snaps")
-for _name in _ON_WIRE[1:]:
-    _needs, _body = _CTES[_name]
-    _CTES[f"wire_{_name}"] = (
-        tuple(f"wire_{n}" if n in _ON_WIRE else n for n in _needs),
-        re.sub(rf"\b(FROM|JOIN) ({'|'.join(_ON_WIRE)})\b", r"\1 wire_\2", _body),
-    )
+
+
+def _again(prefix: str, *names: str) -> None:
+    """The tables ``names``, which rest on the first of them, once more on its namesake with the prefix."""
+    for name in names[1:]:
+        needs, body = _CTES[name]
+        _CTES[f"{prefix}_{name}"] = (
+            tuple(f"{prefix}_{n}" if n in names else n for n in needs),
+            re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", rf"\1 {prefix}_\2", body),
+        )
+
+
+_again("wire", "txns", "beh", "edges", "device_pairs", "user_pairs", "two_hops", "four_hops", "exposure", "snaps")
+_CTES["busy_txns"] = (("txns",), "SELECT * REPLACE ('dev_' || (event_id % 7) AS device_id) FROM txns")
+_again("busy", "txns", "edges", "device_pairs")
 
 _CTES["backlog"] = (
     ("txns", "labs"),
@@ -823,6 +831,18 @@ def oracle_sql() -> dict[str, str]:
           FROM txns t""",
         "txns", "device_pairs",
     )
+    put(
+        "busy_device_count",
+        """SELECT u.user_id, count(p.o) AS shared_device_count FROM (SELECT DISTINCT user_id FROM busy_txns) u
+          LEFT JOIN busy_device_pairs p ON p.u = u.user_id GROUP BY 1""",
+        "busy_txns", "busy_device_pairs",
+    )
+    put(
+        "busy_device_count_asof",
+        """SELECT t.txn_id, count(p.o) AS shared_device_count
+          FROM busy_txns t LEFT JOIN busy_device_pairs p ON p.u = t.user_id AND p.ready <= t.us GROUP BY 1""",
+        "busy_txns", "busy_device_pairs",
+    )
     put(
         "merchant_fraud_count",
         """SELECT e.entity_id AS merchant_id, count(DISTINCT f.user_id) AS shared_merchant_fraud_count FROM edges e

@@ -28,13 +28,30 @@ def device_neighbours(rows, user, until=None):
     return {r[1] for r in seen if r[6] in mine} - {user}
 
 
-@pytest.mark.parametrize("limit", [1000, 3, 1])
-def test_shared_devices(make_txns, limit):
-    rows = make_rows()
-    got = graph.shared_device_count(graph.build_edges(make_txns(rows)), limit).collect()
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_shared_devices(make_txns, seed):
+    rows = make_rows(seed=seed)
+    got = graph.shared_device_count(graph.build_edges(make_txns(rows))).collect()
     assert {r.user_id: r.shared_device_count for r in got} == {u: len(device_neighbours(rows, u)) for u in {r[1] for r in rows}}
 
 
+def test_few_rows_per_edge_on_busy_devices(spark):
+    """1,500 users on seven devices, all 127 sets of them: fewer than ten rows per edge, where pairs would be 1,500."""
+    edges = spark.range(1500).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_id"), F.lit("USED_DEVICE").alias("etype"),
+        F.explode(F.filter(F.sequence(F.lit(0), F.lit(6)), lambda d: F.pmod(F.floor((F.col("id") % 127 + 1) / F.pow(F.lit(2.0), d)), F.lit(2)) == 1)).alias("d"),
+    ).select("user_id", "etype", F.concat(F.lit("d"), F.col("d").cast("string")).alias("entity_id"), F.lit(0).cast("long").alias("first_seen"), F.lit(1).cast("long").alias("txns"))
+    shared = edges.select("user_id", F.col("entity_id").alias("device"))
+    rows, n = graph.set_cells(shared, graph._alike(shared)).count(), edges.count()
+    assert n > 5000 and rows < 10 * n
+    held = {}
+    for r in edges.collect():
+        held.setdefault(r.user_id, set()).add(r.entity_id)
+    got = {r.user_id: r.shared_device_count for r in graph.shared_device_count(edges).collect()}
+    for user in ("u0", "u5", "u126", "u1499"):
+        assert got[user] == sum(bool(held[user] & d) for d in held.values()) - 1
+
+
 @pytest.mark.parametrize("limit", [1000, 3, 1])
 def test_shared_devices_asof(make_txns, limit):
     rows = make_rows()
