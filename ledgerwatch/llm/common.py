@@ -30,6 +30,17 @@ def id_key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("i"), F.col(column).cast("string")), F.lit("null"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+", -1), lambda w: w != "")
 

@@ -295,6 +295,8 @@ def classify(
     good, toxic = heads
     given = labels.select(F.col(doc_id).alias("_label_id"), F.col(good).cast("int").alias(good), F.col(toxic).cast("int").alias(toxic))
     given = given.where(F.col("_label_id").isNotNull() & F.col(good).isin(0, 1) & F.col(toxic).isin(0, 1))
+    # Nothing else of the documents is needed, whatever it is called.
+    docs = docs.select(*{c: F.col(c) for c in (doc_id, text, host, path)}.values())
     sample = F.broadcast(given.orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_labelled))
     known = docs.join(sample, F.col(doc_id) == F.col("_label_id")).select(F.col(text).alias("text"), good, toxic)
     found = persist_table(label_features(known, heads), "label-features")

@@ -2,8 +2,10 @@
 
 Every document gets integer measures. Per language, source and rule, the measures go into a quantile sketch: counts
 per logarithmic bucket (values below 64 exactly, larger ones within 1/32). Sketches merge by adding counts, so those of
-a language, and of everything, are sums of the finer ones; a source with too few documents takes the thresholds of its
-language, and a small language those of all. A rule rejects what lies far outside of the middle half of its group.
+a language, and of everything, are sums of the finer ones. Of each sketch come the upper quartile and the mean distance
+from the median; both are drawn towards those of the next larger group as ``PRIOR`` documents of it would. A rule rejects
+what lies more than its number of such distances above the quartile of its language and source. No threshold is fixed,
+and no group is too small for its own.
 
 DataFrame functions only. The document's text is read once and never shuffled by ``measure``; what is shuffled are counts.
 
@@ -15,20 +17,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerwatch.llm.common import SPACE, id_key, text_of, words_of
+from ledgerwatch.llm.common import id_key, text_of, unused, words_of
 from ledgerwatch.session import persist_table
 
 MIN_WORDS = 50
-#: Groups with fewer documents than this use the sketch of the next larger group.
-MIN_GROUP = 100
-#: A value is rejected beyond the upper quartile plus this many spreads.
-FENCE = 4
-#: Rule -> (value in 1/10,000, least spread between the quartiles that the fence assumes).
+#: The next larger group counts as this many documents in a group's quartile and distance.
+PRIOR = 50
+#: Rule -> (value in 1/10,000, distances above the upper quartile that pass).
 RULES = {
-    "symbol_share": ("10000 * n_symbols div greatest(word_chars, 1)", 200),
-    "repeat_share": ("10000 * n_repeat_words div greatest(n_words, 1)", 500),
-    "dup_line_share": ("10000 * n_dup_lines div greatest(n_lines, 1)", 1000),
-    "word_length": ("100 * word_chars div greatest(n_words, 1)", 200),
+    "symbol_share": ("10000 * n_symbols div greatest(word_chars, 1)", 3),
+    "repeat_share": ("10000 * n_repeat_words div greatest(n_words, 1)", 24),
+    "dup_line_share": ("10000 * n_dup_lines div greatest(n_lines, 1)", 48),
+    "word_length": ("100 * word_chars div greatest(n_words, 1)", 6),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -45,7 +45,7 @@ def _repeat_words(words: Column, windows: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base measures and ``n_lines`` as columns, and drops nothing."""
+    """Adds the base measures and ``n_lines`` as columns, and drops nothing but columns of its own names."""
     body = text_of(text)
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     out = docs.withColumns({"__words": words_of(body), "__lines": lines})
@@ -93,37 +93,44 @@ def sketches(measured: DataFrame) -> DataFrame:
     return values.groupBy("lang", "source", "rule", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group of ``keys`` its documents and, per rule, the largest value that passes."""
+def summaries(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group of ``keys`` and rule: documents ``n``, upper quartile ``high``, summed distances from the median ``apart``."""
     merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "rule")
-    upto = F.sum("n").over(group.orderBy("bucket"))
-    ranked = merged.withColumns({"_upto": upto, "_all": F.sum("n").over(group)})
+    ranked = merged.withColumns({"_upto": F.sum("n").over(group.orderBy("bucket")), "_all": F.sum("n").over(group)})
 
     def quartile(q: int) -> Column:
-        return value_of(F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("bucket"))))
-
-    per_rule = ranked.groupBy(*keys, "rule").agg(quartile(1).alias("_low"), quartile(3).alias("_high"), F.max("_all").alias("_all"))
-    least = F.create_map(*[F.lit(x) for r, (_, s) in RULES.items() for x in (r, s)])
-    spread = F.greatest(F.col("_high") - F.col("_low"), least[F.col("rule")].cast("long"))
-    per_rule = per_rule.withColumn("_fence", F.col("_high") + FENCE * spread)
-    return per_rule.groupBy(*keys).agg(
-        F.max("_all").alias("docs"), *[F.max(F.when(F.col("rule") == r, F.col("_fence"))).alias(r) for r in RULES]
+        return value_of(F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("bucket"))).over(group))
+
+    ranked = ranked.withColumns({"_middle": quartile(2), "_high": quartile(3)})
+    apart = F.sum(F.col("n") * F.abs(value_of(F.col("bucket")) - F.col("_middle")))
+    return ranked.groupBy(*keys, "rule").agg(
+        F.max("_all").cast("double").alias("n"), F.max("_high").cast("double").alias("high"), apart.cast("double").alias("apart")
     )
 
 
+def _drawn(own: DataFrame, wider: DataFrame, keys: list[str]) -> DataFrame:
+    """``high`` and ``mean`` of the groups of ``own``, drawn towards those of the wider group with the same ``keys``."""
+    renamed = wider.select(*[F.col(k).alias(f"_w_{k}") for k in keys], F.col("rule").alias("_w_rule"), F.col("high").alias("_w_high"), F.col("mean").alias("_w_mean"))
+    on = F.col("rule") == F.col("_w_rule")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_w_{k}"))
+    both = own.join(renamed, on)
+    weight = F.col("n") + float(PRIOR)
+    high = (F.col("n") * F.col("high") + float(PRIOR) * F.col("_w_high")) / weight
+    mean = (F.col("apart") + float(PRIOR) * F.col("_w_mean")) / weight
+    return both.withColumns({"high": high, "mean": mean}).select(*own.columns, "mean")
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
-    """One row per (lang, source): the fences of the finest group that is large enough."""
+    """One row per (lang, source): the largest value that passes, by rule."""
     sketch = persist_table(sketches(measured), "quality-sketch")
-    fine = fences(sketch, ["lang", "source"])
-    by_lang = fences(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("docs").alias("_ldocs"), *[F.col(r).alias(f"_l_{r}") for r in RULES])
-    overall = fences(sketch, []).select(F.struct(*RULES)).scalar()
-    wide = fine.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("_overall", overall)
-    picked = {
-        r: F.when(F.col("docs") >= MIN_GROUP, F.col(r)).when(F.col("_ldocs") >= MIN_GROUP, F.col(f"_l_{r}")).otherwise(F.col("_overall")[r])
-        for r in RULES
-    }
-    return wide.select("lang", "source", *[c.alias(f"max_{r}") for r, c in picked.items()])
+    overall = summaries(sketch, []).withColumn("mean", F.col("apart") / F.col("n"))
+    by_lang = _drawn(summaries(sketch, ["lang"]), overall, [])
+    fine = _drawn(summaries(sketch, ["lang", "source"]), by_lang, ["lang"])
+    times = F.create_map(*[F.lit(x) for r, (_, n) in RULES.items() for x in (r, float(n))])
+    fine = fine.withColumn("_most", F.col("high") + times[F.col("rule")] * F.col("mean"))
+    return fine.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, F.col("_most"))).alias(f"max_{r}") for r in RULES])
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -150,10 +157,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 def drop_bad(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with the columns they came with. The verdict depends on text, language and source alone."""
-    keys = ["__doc_id", "__lang", "__source", "__hash"]
+    keys = unused(docs, "__doc_id", "__lang", "__source", "__hash")
 
     def keyed(df: DataFrame, names: list[str], hashed: Column) -> DataFrame:
-        return df.withColumns({k: id_key(n) for k, n in zip(keys, names)} | {"__hash": hashed})
+        return df.withColumns({k: id_key(n) for k, n in zip(keys, names)} | {keys[3]: hashed})
 
     bad = quality_rules(docs, doc_id, text, lang, source).where("not kept")
     bad = keyed(bad, ["doc_id", "lang", "source"], F.col("text_hash")).select(*keys)

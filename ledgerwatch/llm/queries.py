@@ -16,7 +16,7 @@ from ledgerwatch.llm.line_dedup import line_dedup
 from ledgerwatch.llm.mixing import MAX_EPOCHS, SEED, mix
 from ledgerwatch.llm.packing import pack
 from ledgerwatch.llm.quality_classifier import classify
-from ledgerwatch.llm.quality_rules import FENCE, MIN_GROUP, MIN_WORDS, RULES as QUALITY, quality_rules
+from ledgerwatch.llm.quality_rules import MIN_WORDS, PRIOR, RULES as QUALITY, quality_rules
 from ledgerwatch.llm.secret_scan import RULES as SECRETS, secret_scan
 from ledgerwatch.llm.simhash import near_dedup
 from ledgerwatch.llm.token_counts import token_counts
@@ -194,22 +194,30 @@ def _op8() -> str:
     bucket = f"greatest({bits}, 0) * 32 + (value >> greatest({bits}, 0))"
     least = "bucket - greatest(bucket // 32 - 1, 0) * 32 << greatest(bucket // 32 - 1, 0)"
     values = " UNION ALL ".join(
-        f"SELECT doc_id, lang, source, '{r}' AS rule, CAST({v.replace(' div ', ' // ')} AS BIGINT) AS value, {s} AS least FROM judged WHERE NOT base_failed"
-        for r, (v, s) in QUALITY.items()
+        f"SELECT doc_id, lang, source, '{r}' AS rule, CAST({v.replace(' div ', ' // ')} AS BIGINT) AS value, {n}e0 AS times FROM judged WHERE NOT base_failed"
+        for r, (v, n) in QUALITY.items()
     )
 
-    def fences(name: str, keys: str) -> str:
+    def summary(name: str, keys: str) -> str:
         group = f"{keys}rule"
         return f"""{name}_ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {group}) AS every
-  FROM (SELECT {group}, bucket, any_value(least) AS least, count(*) AS n FROM bucketed GROUP BY {group}, bucket)
-), {name}_quartiles AS (
-  SELECT {group}, any_value(least) AS least, max(every) AS docs,
-         min(CASE WHEN upto * 4 >= every THEN bucket END) AS b1, min(CASE WHEN upto * 4 >= every * 3 THEN bucket END) AS b3
+  SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {group}) AS every, {least} AS low
+  FROM (SELECT {group}, bucket, count(*) AS n FROM bucketed GROUP BY {group}, bucket)
+), {name}_marks AS (
+  SELECT {group}, min(CASE WHEN upto * 4 >= every * 2 THEN low END) AS middle, min(CASE WHEN upto * 4 >= every * 3 THEN low END) AS high
   FROM {name}_ranked GROUP BY {group}
-), {name} AS (
-  SELECT {group}, docs, q3 + {FENCE} * greatest(q3 - q1, least) AS fence
-  FROM (SELECT *, {least.replace('bucket', 'b1')} AS q1, {least.replace('bucket', 'b3')} AS q3 FROM {name}_quartiles)
+), {name}_own AS (
+  SELECT {', '.join(f'r.{k}' for k in group.split(', '))}, CAST(any_value(every) AS DOUBLE) AS n, CAST(any_value(high) AS DOUBLE) AS high,
+         CAST(sum(r.n * abs(low - middle)) AS DOUBLE) AS apart
+  FROM {name}_ranked r JOIN {name}_marks m ON {' AND '.join(f'r.{k} IS NOT DISTINCT FROM m.{k}' for k in group.split(', '))}
+  GROUP BY {', '.join(f'r.{k}' for k in group.split(', '))}
+)"""
+
+    def drawn(name: str, wider: str, keys: list[str]) -> str:
+        on = " AND ".join(f"o.{k} IS NOT DISTINCT FROM w.{k}" for k in [*keys, "rule"])
+        return f"""{name} AS (
+  SELECT o.* REPLACE ((o.n * o.high + {PRIOR}e0 * w.high) / (o.n + {PRIOR}e0) AS high), (o.apart + {PRIOR}e0 * w.mean) / (o.n + {PRIOR}e0) AS mean
+  FROM {name}_own o JOIN {wider} w ON {on}
 )"""
 
     return f"""
@@ -236,12 +244,12 @@ WITH texts AS (
   {values}
 ), bucketed AS (
   SELECT *, {bucket} AS bucket FROM valued
-), {fences('fine', 'lang, source, ')}, {fences('by_lang', 'lang, ')}, {fences('overall', '')}, verdicts AS (
-  SELECT b.doc_id, bool_and(b.value <= CASE WHEN f.docs >= {MIN_GROUP} THEN f.fence WHEN l.docs >= {MIN_GROUP} THEN l.fence ELSE o.fence END) AS within
+), {summary('fine', 'lang, source, ')}, {summary('by_lang', 'lang, ')}, {summary('overall', '')}, overall AS (
+  SELECT *, apart / n AS mean FROM overall_own
+), {drawn('by_lang', 'overall', [])}, {drawn('fine', 'by_lang', ['lang'])}, verdicts AS (
+  SELECT b.doc_id, bool_and(b.value <= f.high + b.times * f.mean) AS within
   FROM bucketed b
   JOIN fine f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source AND b.rule = f.rule
-  JOIN by_lang l ON b.lang IS NOT DISTINCT FROM l.lang AND b.rule = l.rule
-  JOIN overall o ON b.rule = o.rule
   GROUP BY b.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept
