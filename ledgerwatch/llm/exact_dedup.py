@@ -1,9 +1,13 @@
 """Exact dedup: a minimal perfect hash over the distinct digests seen so far.
 
+Documents come in parts. The first part is indexed; each later one is looked up: digests that are members add to their
+entry, the others are grouped by themselves and become entries, and the index is built anew over all of them, to be stored
+for the next part. Rows learn from the last index which row stays.
+
 Per shard of digests, levels of bit arrays give each known digest a slot of its own: a digest sets a bit of the
 first level at which no other digest wants the same bit, and its slot is the number of bits set before it. The
 slots hold whole digests, so a lookup compares bytes and never takes a stranger for a member, and the locator of
-the row that stays. Rows whose digest is not in the index are grouped by themselves.
+the row that stays.
 
 Nothing but digests and ids is shuffled. Copies spread over the groups of ``common.lookup``, however many there are.
 
@@ -13,11 +17,14 @@ same text) one stays; an empty table gives no rows; other columns are ignored, o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerwatch.llm.common import id_key, lookup, shard_count, shard_of, text_of
+from ledgerwatch.llm.common import id_key, lookup, shard_count, shard_of, text_of, unused
 from ledgerwatch.session import persist_table
 
 DIGEST_BYTES = 32
@@ -117,10 +124,17 @@ def _build_shard(key, rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def build_index(rows: DataFrame, shards: int) -> DataFrame:
-    """One row per shard over the distinct digests of ``rows``; a shard has about ``KEYS_PER_SHARD`` of them."""
-    known = rows.groupBy("digest").agg(F.max("doc_id").cast("string").alias("winner"), F.sum("copies").alias("members"))
-    known = known.withColumn("shard", shard_of(F.col("digest"), shards))
+@dataclass(frozen=True)
+class DigestIndex:
+    """``table`` has one row per shard, its digests dealt out by ``shard_of(digest, shards)``."""
+
+    table: DataFrame
+    shards: int
+
+
+def build_index(entries: DataFrame, shards: int) -> DataFrame:
+    """One row per shard over ``entries``: (digest, winner, members), each digest once, the winner as text or null."""
+    known = entries.withColumn("shard", shard_of(F.col("digest"), shards))
 
     def build(key, part: pd.DataFrame) -> pd.DataFrame:
         part["winner"] = pd.array([None if x is None else int(x) for x in part["winner"]], dtype="Int64")
@@ -129,6 +143,50 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
     return known.groupBy("shard").applyInPandas(build, _INDEX)
 
 
+def _entries(rows: DataFrame) -> DataFrame:
+    """(digest, id, copies) of digest rows: the largest id, as text, and the number of rows."""
+    return rows.groupBy("digest").agg(F.max("doc_id").cast("string").alias("id"), F.sum("copies").alias("copies"))
+
+
+def stored_index(entries: DataFrame) -> DigestIndex:
+    entries = persist_table(entries, "digest-entries")
+    shards = shard_count(entries.count(), KEYS_PER_SHARD)
+    return DigestIndex(persist_table(build_index(entries, shards), "digest-index"), shards)
+
+
+def first_index(rows: DataFrame) -> DigestIndex:
+    return stored_index(_entries(rows).select("digest", F.col("id").alias("winner"), F.col("copies").alias("members")))
+
+
+def entries_of(index: DigestIndex) -> DataFrame:
+    """(digest, winner, members) of all slots."""
+
+    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                winners, named = np.frombuffer(row.winners, dtype=np.int64), np.frombuffer(row.named, dtype=bool)
+                size = DIGEST_BYTES
+                yield pd.DataFrame(
+                    {
+                        "digest": [row.digests[k : k + size] for k in range(0, len(row.digests), size)],
+                        "winner": [str(w) if ok else None for w, ok in zip(winners.tolist(), named.tolist())],
+                        "members": np.frombuffer(row.members, dtype=np.int64),
+                    }
+                )
+
+    return index.table.mapInPandas(unpack, "digest binary, winner string, members long")
+
+
+def extend(index: DigestIndex, rows: DataFrame) -> DigestIndex:
+    """The index after further digest rows."""
+    found = look_up(_entries(rows), index)
+    winner = F.greatest(F.col("winner").cast("long"), F.col("id").cast("long")).cast("string")
+    met = found.where("member").select("digest", winner.alias("winner"), (F.col("members") + F.col("copies")).alias("members"))
+    new = found.where("not member").select("digest", F.col("id").alias("winner"), F.col("copies").alias("members"))
+    untouched = entries_of(index).join(met.select("digest"), "digest", "left_anti")
+    return stored_index(untouched.unionByName(met).unionByName(new))
+
+
 def _resolve(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     out = probes[["digest", "id", "copies"]].copy()
     n = len(out)
@@ -151,39 +209,48 @@ def _resolve(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def resolve(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Adds to digest rows ``keep_id`` and ``group_size``: from the index for members, by grouping for the others."""
-    probes = rows.select(
-        "digest", F.col("doc_id").cast("string").alias("id"), "copies", shard_of(F.col("digest"), shards).alias("shard")
-    )
+def look_up(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """Adds ``member``, ``winner`` and ``members`` to rows (digest, id, copies); stored."""
+    probes = rows.select("digest", "id", "copies", shard_of(F.col("digest"), index.shards).alias("shard"))
     schema = "digest binary, id string, copies long, member boolean, winner string, members long"
-    found = persist_table(lookup(probes, index, "id", _resolve, schema), "digests-looked-up").withColumns(
-        {"doc_id": F.col("id").cast("long"), "winner": F.col("winner").cast("long")}
-    )
-    known = found.where("member").select("digest", "doc_id", "copies", F.col("winner").alias("keep_id"), F.col("members").alias("group_size"))
-    new = found.where("not member").select("digest", "doc_id", "copies")
-    groups = new.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    return known.unionByName(new.join(groups, "digest"))
+    return persist_table(lookup(probes, index.table, "id", _resolve, schema), "digests-looked-up")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
-    """One row per document: digest, doc_id, keep_id, group_size, kept.
+def exact_dedup_with(
+    docs: DataFrame, history: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DigestIndex]:
+    """One row per document: digest, doc_id, keep_id, group_size, kept; and the index with these documents.
 
-    ``history`` has digest rows of earlier documents; without it, the documents themselves are the history.
+    With ``history`` the rows it has seen count, and one of them may be the row that stays. Without it, the documents
+    themselves come in two parts, by a hash of their ids: the second part is resolved against the index of the first.
     """
     rows = persist_table(digest_rows(docs, doc_id, text), "digests")
-    past = rows if history is None else history
-    shards = shard_count(past.count(), KEYS_PER_SHARD)
-    index = persist_table(build_index(past, shards), "digest-index")
-    each = resolve(rows, index, shards).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    if history is None:
+        later = F.pmod(F.xxhash64(id_key("doc_id"), F.lit("part")), F.lit(2)) == 1
+        index = extend(first_index(rows.where(~later)), rows.where(later))
+    else:
+        index = extend(history, rows)
+    found = look_up(rows.select("digest", F.col("doc_id").cast("string").alias("id"), "copies"), index)
+    each = found.select(
+        "digest",
+        F.col("id").cast("long").alias("doc_id"),
+        F.col("winner").cast("long").alias("keep_id"),
+        F.col("members").alias("group_size"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
+    )
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)
-    return each.select("digest", "doc_id", "keep_id", "group_size", first.alias("kept"))
+    return each.select("digest", "doc_id", "keep_id", "group_size", first.alias("kept")), index
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", history: DigestIndex | None = None) -> DataFrame:
+    return exact_dedup_with(docs, history, doc_id, text)[0]
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with the columns they came with."""
-    kept = exact_dedup(docs, doc_id, text).where("kept").select(id_key("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    marked = docs.withColumns({"__id": id_key(doc_id), "__digest": digest_of(text)}).join(kept, ["__id", "__digest"], "left_semi")
+    row, digest, nth = unused(docs, "__id", "__digest", "__copy")
+    kept = exact_dedup(docs, doc_id, text).where("kept").select(id_key("doc_id").alias(row), F.col("digest").alias(digest))
+    marked = docs.withColumns({row: id_key(doc_id), digest: digest_of(text)}).join(kept, [row, digest], "left_semi")
     # Repeated rows have the same id and digest; the join has already brought them together.
-    copy = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.lit(0)))
-    return marked.withColumn("__copy", copy).where(F.col("__copy") == 1).select(*docs.columns)
+    copy = F.row_number().over(Window.partitionBy(row, digest).orderBy(F.lit(0)))
+    return marked.withColumn(nth, copy).where(F.col(nth) == 1).select(*docs.columns)

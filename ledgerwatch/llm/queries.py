@@ -17,7 +17,7 @@ from ledgerwatch.llm.mixing import MAX_EPOCHS, SEED, mix
 from ledgerwatch.llm.packing import pack
 from ledgerwatch.llm.quality_classifier import classify
 from ledgerwatch.llm.quality_rules import MIN_WORDS, PRIOR, RULES as QUALITY, quality_rules
-from ledgerwatch.llm.secret_scan import RULES as SECRETS, secret_scan
+from ledgerwatch.llm.secret_scan import BASE as BASE_SECRETS, RULES as SECRETS, secret_scan
 from ledgerwatch.llm.simhash import near_dedup
 from ledgerwatch.llm.token_counts import token_counts
 
@@ -81,8 +81,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     rows = secret_scan(documents(spark, folder))
-    # All rules are base rules, so the base spans are all spans.
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", _sha(F.col("spans")).alias("base_sha256"), "spans")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", _sha(F.col("base_spans")).alias("base_sha256"), "spans")
 
 
 def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,7 +265,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def _op10() -> str:
     parts = []
-    for no, (kind, pattern, group, size) in enumerate(SECRETS):
+    for no, (kind, pattern, group, size, _) in enumerate(SECRETS):
         quoted = pattern.replace("'", "''")
         parts.append(
             f"""SELECT doc_id, {no} AS kind_no, '{kind}' AS kind, {size} AS least,
@@ -275,7 +274,8 @@ def _op10() -> str:
        list_transform(regexp_extract_all(body, '{quoted}', {group}), lambda x: length(x)) AS vals
 FROM texts"""
         )
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in SECRETS)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_SECRETS)
+    text = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no, stop)"
     return f"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS body FROM documents
@@ -287,11 +287,11 @@ WITH texts AS (
 ), spans AS (
   SELECT doc_id, kind_no, kind, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop FROM placed WHERE val >= least
 ), found AS (
-  SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no, stop) AS spans
+  SELECT doc_id, {counts}, {text} AS spans, {text} FILTER (WHERE kind IN {BASE_SECRETS}) AS base_spans
   FROM spans GROUP BY doc_id
 )
-SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, *_ in SECRETS)},
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE_SECRETS)},
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN found USING (doc_id)
 """
 
