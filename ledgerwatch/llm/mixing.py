@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerwatch.llm.common import id_key, text_of, words_of
+from ledgerwatch.llm.common import id_key, text_of, unused, words_of
 from ledgerwatch.session import persist_table
 
 MAX_EPOCHS = 3
@@ -140,26 +140,28 @@ def mix(docs: DataFrame, *args, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix as documents, with the columns they came with: a row per repetition, the last one cut to the words it takes."""
-    keys = ["__id", "__source", "__hash"]
+    names = unused(docs, "__id", "__source", "__hash", "__size", "__whole", "__extra", "__copy", "__part", "__time")
+    row, of, hashed, size, whole_times, extra, nth, part, time = names
+    keys = [row, of, hashed]
     chosen = shares(docs, doc_id, text, source, **options)
     chosen = chosen.select(
-        id_key("doc_id").alias("__id"),
-        id_key("source").alias("__source"),
-        F.col("text_hash").alias("__hash"),
-        *[F.col(c).alias(f"__{c}") for c in ("size", "whole", "extra")],
+        id_key("doc_id").alias(row),
+        id_key("source").alias(of),
+        F.col("text_hash").alias(hashed),
+        *[F.col(c).alias(n) for c, n in (("size", size), ("whole", whole_times), ("extra", extra))],
     )
     body = text_of(text)
-    marked = docs.withColumns({"__id": id_key(doc_id), "__source": id_key(source), "__hash": F.xxhash64(body)}).join(chosen, keys)
+    marked = docs.withColumns({row: id_key(doc_id), of: id_key(source), hashed: F.xxhash64(body)}).join(chosen, keys)
     copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))).cast("long")
-    marked = marked.withColumn("__copy", copy).withColumn("__part", _part("__copy", "__extra", "__size"))
-    whole = F.col("__whole") + F.when((F.col("__part") == F.col("__size")) & (F.col("__size") > 0), 1).otherwise(0)
-    cut = (F.col("__part") > 0) & (F.col("__part") < F.col("__size"))
+    marked = marked.withColumn(nth, copy).withColumn(part, _part(nth, extra, size))
+    whole = F.col(whole_times) + F.when((F.col(part) == F.col(size)) & (F.col(size) > 0), 1).otherwise(0)
+    cut = (F.col(part) > 0) & (F.col(part) < F.col(size))
     none = F.array().cast("array<bigint>")
     # 0 marks the repetition that is cut.
     times = F.concat(
         F.when(whole > 0, F.sequence(F.lit(1).cast("long"), whole)).otherwise(none),
         F.when(cut, F.array(F.lit(0).cast("long"))).otherwise(none),
     )
-    rows = marked.withColumn("__time", F.explode(times))
-    head = F.array_join(F.slice(words_of(body), F.lit(1), F.col("__part").cast("int")), " ")
-    return rows.withColumn(text, F.when(F.col("__time") == 0, head).otherwise(F.col(text))).select(*docs.columns)
+    rows = marked.withColumn(time, F.explode(times))
+    head = F.array_join(F.slice(words_of(body), F.lit(1), F.col(part).cast("int")), " ")
+    return rows.withColumn(text, F.when(F.col(time) == 0, head).otherwise(F.col(text))).select(*docs.columns)

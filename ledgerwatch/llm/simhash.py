@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerwatch.llm.common import bounded_batches, id_key, text_of
+from ledgerwatch.llm.common import bounded_batches, id_key, text_of, unused
 from ledgerwatch.session import persist_table
 
 BITS = 64
@@ -230,10 +230,11 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
         before = tuple(row)
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ends.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
+        # What is joined by a hub's fingerprint is stored first, so that the join is free to split the hub.
+        least = persist_table(ends.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m")), "least-stars")
         large = ends.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         large = persist_table(_ordered(large), "large-stars")
-        least = large.groupBy("a").agg(F.min("b").alias("_m"))
+        least = persist_table(large.groupBy("a").agg(F.min("b").alias("_m")), "large-least")
         small = large.join(least, "a")
         edges = _ordered(small.select("b", F.col("_m").alias("a")).unionByName(small.select(F.col("a").alias("b"), F.col("_m").alias("a"))))
 
@@ -248,14 +249,16 @@ def _groups(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFra
     marked = persist_table(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = persist_table(marked.select("fp").distinct(), "distinct-fingerprints")
     linked = components(near_links(distinct))
-    return marked, distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    roots = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return marked, persist_table(roots, "roots")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     marked, roots = _groups(docs, doc_id, text)
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("_least")).join(roots, "fp")
-    names = least.groupBy("root").agg(F.min("_least").alias("component_id"))
+    # Stored, as in components, since one root may have very many fingerprints.
+    names = persist_table(least.groupBy("root").agg(F.min("_least").alias("component_id")), "component-names")
     named = roots.join(names, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -265,7 +268,8 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     marked, roots = _groups(docs, doc_id, text)
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     best = marked.groupBy("fp").agg(order.alias("best")).join(roots, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    best = best.select("best.doc_id", "best.text_hash").select(id_key("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    marked = docs.withColumns({"__id": id_key(doc_id), "__hash": F.xxhash64(text_of(text))}).join(best, ["__id", "__hash"], "left_semi")
-    copy = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))
-    return marked.withColumn("__copy", copy).where(F.col("__copy") == 1).select(*docs.columns)
+    row, hashed, nth = unused(docs, "__id", "__hash", "__copy")
+    best = best.select("best.doc_id", "best.text_hash").select(id_key("doc_id").alias(row), F.col("text_hash").alias(hashed))
+    marked = docs.withColumns({row: id_key(doc_id), hashed: F.xxhash64(text_of(text))}).join(best, [row, hashed], "left_semi")
+    copy = F.row_number().over(Window.partitionBy(row, hashed).orderBy(F.lit(0)))
+    return marked.withColumn(nth, copy).where(F.col(nth) == 1).select(*docs.columns)
