@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerwatch.functions.signals import rounded
-from ledgerwatch.operators.metrics import ks_two_sample
+from ledgerwatch.operators.metrics import ks_of_counts
 from ledgerwatch.operators.ordering import percentiles
 from ledgerwatch.schema import (
     BASELINE_HOURS,
@@ -106,7 +106,7 @@ def drift_summary(per_feature: DataFrame, threshold: float = PSI_DRIFT) -> DataF
     )
 
 
-def baseline(df: DataFrame, model_version: str, features: list[str] = FEATURE_COLUMNS, min_rows: int = DRIFT_MIN_ROWS) -> DataFrame:
+def baseline(df: DataFrame, model_version, features: list[str] = FEATURE_COLUMNS, min_rows: int = DRIFT_MIN_ROWS) -> DataFrame:
     """Edges and bucket probabilities to store for a model version; empty below ``min_rows`` rows."""
     enough = df.agg((F.count(F.lit(1)) >= min_rows).alias("enough")).scalar()
     values = long_form(df, features)
@@ -125,6 +125,15 @@ def baseline(df: DataFrame, model_version: str, features: list[str] = FEATURE_CO
     )
 
 
+def baseline_scores(df: DataFrame, model_version, score: str = "fraud_probability") -> DataFrame:
+    """The exact distribution of a model's scores, to store next to the edges: each score and how often it occurred.
+
+    A later check reads this in place of the predictions of the baseline's time.
+    """
+    known = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    return known.select(F.lit(model_version).alias("model_version"), "score", "n")
+
+
 def baseline_complete(stored: DataFrame, model_version: str, features: list[str] = FEATURE_COLUMNS) -> DataFrame:
     """Whether the stored baseline covers every feature, and so need not be computed again."""
     mine = stored.where(F.col("model_version") == model_version)
@@ -161,26 +170,26 @@ def retrain_decision(checks: DataFrame, events: DataFrame, as_of, cooldown_minut
 def drift_check(
     stored: DataFrame,
     live: DataFrame,
-    baseline_scores: DataFrame,
+    stored_scores: DataFrame,
     live_scores: DataFrame,
     events: DataFrame,
-    model_version: str,
+    model_version,
     as_of,
     features: list[str] = FEATURE_COLUMNS,
     min_rows: int = DRIFT_MIN_ROWS,
 ) -> DataFrame:
     """One drift event: PSI of every feature against the stored baseline, KS of the scores, decision.
 
-    No row below ``min_rows`` live rows.
+    ``stored_scores`` is the table of :func:`baseline_scores`. No row below ``min_rows`` live rows.
     """
     edges, base_probs = stored_probs(stored.where(F.col("model_version") == model_version))
     per_feature = psi(base_probs, bucket_probs(long_form(live, features), edges))
     as_map = F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "psi"))))
     summary = drift_summary(per_feature)
-    scores = baseline_scores.select("fraud_probability", F.lit(False).alias("is_live")).unionByName(
-        live_scores.select("fraud_probability", F.lit(True).alias("is_live"))
-    )
-    ks = ks_two_sample(scores, "fraud_probability", "is_live").select(F.struct("ks_statistic", "ks_pvalue").alias("ks"))
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    known = stored_scores.where(F.col("model_version") == model_version).select("score", F.col("n").alias("a"), none.alias("b"))
+    scores = known.unionByName(live_scores.select(F.col("fraud_probability").alias("score"), none.alias("a"), one.alias("b")))
+    ks = ks_of_counts(scores, "score", F.col("a"), F.col("b")).select(F.struct("ks_statistic", "ks_pvalue").alias("ks"))
     enough = live.agg((F.count(F.lit(1)) >= min_rows).alias("enough")).scalar()
     check = summary.where(enough).withColumns(
         {

@@ -125,8 +125,12 @@ def ks_two_sample(df: DataFrame, value: str, is_live: str, min_rows: int = KS_MI
 
     Null where either side has fewer than ``min_rows`` values.
     """
-    weights = {"a": _count(~F.col(is_live)), "b": _count(F.col(is_live))}
-    points = cumulative_by_value(df, value, weights)
+    return ks_of_counts(df, value, _count(~F.col(is_live)), _count(F.col(is_live)), min_rows)
+
+
+def ks_of_counts(df: DataFrame, value: str, a: Column, b: Column, min_rows: int = KS_MIN_ROWS) -> DataFrame:
+    """As :func:`ks_two_sample`, from rows that stand for ``a`` values of one side and ``b`` of the other."""
+    points = cumulative_by_value(df, value, {"a": a, "b": b})
     na, nb = F.col("a_total"), F.col("b_total")
     gap = F.abs(ratio(F.col("a_before") + F.col("a"), na) - ratio(F.col("b_before") + F.col("b"), nb))
     found = points.agg(F.max(gap).alias("d"), F.max(na).alias("na"), F.max(nb).alias("nb"))

@@ -765,14 +765,35 @@ def _baseline(spark: SparkSession, folder: str) -> DataFrame:
     return drift.baseline(base, "8")
 
 
+# The windows of the smallest tables hold few rows; the operator's own limit is 200.
+FEW_LIVE_ROWS = 20
+
+
+def _windowed_baseline(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What is stored for the newest active model: edges and shares of its features, and the distribution of its scores."""
+    model = rg.active_model(_registry(spark, folder))
+    version = model.select("model_version").scalar()
+    rows = drift.reference_window(snapshots(spark, folder), model, "txn_timestamp")
+    scored = drift.reference_window(tables.predictions(spark, folder), model, "scored_at")
+    features = _stored(spark, folder, "drift_baseline", lambda: drift.baseline(rows, version, min_rows=FEW_LIVE_ROWS))
+    return features, _stored(spark, folder, "drift_scores", lambda: drift.baseline_scores(scored, version))
+
+
 @query
 def drift_baseline(spark, folder):
-    rows = _baseline(spark, folder)
+    """Over the three days before the newest active model."""
+    rows, _ = _windowed_baseline(spark, folder)
     return rows.select(
         "model_version", "feature_name", F.size("bucket_edges").alias("edges"), F.posexplode("bucket_probs").alias("bucket", "prob")
     )
 
 
+@query
+def baseline_scores(spark, folder):
+    """The stored scores of the same days."""
+    return _windowed_baseline(spark, folder)[1]
+
+
 @query
 def baseline_store(spark, folder):
     """Storing the same baseline twice leaves one row per feature, and the version complete."""
@@ -812,29 +833,35 @@ def retrain_decision(spark, folder):
 
 
 def _drift_check(spark: SparkSession, folder: str) -> DataFrame:
-    _, live = _halves(shifted_snapshots(spark, folder))
-    base_scores, live_scores = _halves(tables.predictions(spark, folder), "scored_at")
-    baseline = persist_table(_baseline(spark, folder), "drift_baseline")
-    return drift.drift_check(
-        baseline, live, base_scores, live_scores, tables.drift_events(spark, folder), "8", _at(NOW)
+    """The last six hours against the stored baseline of the newest active model."""
+    features, scores = _windowed_baseline(spark, folder)
+    live = drift.live_window(snapshots(spark, folder), _at(NOW), "txn_timestamp")
+    live_scores = drift.live_window(tables.predictions(spark, folder), _at(NOW), "scored_at")
+    version = rg.active_model(_registry(spark, folder)).select("model_version").scalar()
+    checked = drift.drift_check(
+        features, live, scores, live_scores, tables.drift_events(spark, folder), version, _at(NOW), min_rows=FEW_LIVE_ROWS
     )
+    # The map as text that any SQL engine can build.
+    entry = F.transform(F.map_entries("feature_psi"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("decimal(10,5)").cast("string")))
+    return checked.withColumn("feature_psi", F.array_join(entry, ","))
 
 
 @query
 def drift_check(spark, folder):
-    rows = _drift_check(spark, folder)
-    return rows.select(
-        "checked_at", "model_version", "max_feature_psi", "mean_feature_psi", "prediction_ks_statistic",
-        "drift_detected", "retrain_triggered", "retrain_skipped_reason",
-    )
+    return _drift_check(spark, folder)
 
 
 @query
 def drift_event(spark, folder):
-    """The event log after appending the newest check."""
-    events = tables.drift_events(spark, folder)
-    new = small_table(_drift_check(spark, folder).select(*events.columns))
-    return sinks.insert_ignore(events, new, ["checked_at", "model_version"])
+    """The event log, with all columns of an event, after appending the newest check."""
+    events = tables.drift_events(spark, folder).withColumns(
+        {
+            "feature_psi": F.lit(None).cast("string"),
+            "prediction_ks_statistic": F.lit(None).cast("double"),
+            "prediction_ks_pvalue": F.lit(None).cast("double"),
+        }
+    )
+    return sinks.insert_ignore(events, persist_table(_drift_check(spark, folder), "drift_event"), ["checked_at", "model_version"])
 
 
 # -- reports -----------------------------------------------------------------------------

@@ -377,6 +377,14 @@ _CTES["ks"] = (
             count(*) FILTER (scored_at >= {SPLIT_AT}) * 1e0 AS b FROM preds GROUP BY 1)
         WINDOW w AS (ORDER BY p))""",
 )
+_CTES["w_ks"] = (
+    ("preds", "created"),
+    f"""SELECT max(abs(ca / na - cb / nb)) AS ks, max(na) AS na, max(nb) AS nb FROM (
+        SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM (
+          SELECT fraud_probability AS p, count(*) FILTER (scored_at >= made - INTERVAL 72 HOUR AND scored_at < made) * 1e0 AS a,
+            count(*) FILTER (scored_at >= {NOW} - INTERVAL 6 HOUR AND scored_at <= {NOW}) * 1e0 AS b FROM preds, created GROUP BY 1)
+        WHERE a + b > 0 WINDOW w AS (ORDER BY p))""",
+)
 _CTES["phi"] = (
     ("snaps",),
     "SELECT txn_id, "
@@ -461,14 +469,21 @@ def _rate(part: str, whole: str) -> str:
 
 
 def _checked_event() -> str:
-    """One drift check at the end of the data, from the log, the PSI table and the KS table."""
+    """One drift check at the end of the data, from the log, the windowed PSI table and the windowed KS table."""
     resting = f"coalesce({NOW} - (SELECT max(checked_at) FROM drift_log WHERE retrain_triggered) < INTERVAL 60 MINUTE, false)"
     reason = _DRIFT_REASON.format(60)
-    return f"""SELECT {NOW} AS checked_at, '8' AS model_version, max(psi) AS max_feature_psi, avg(psi) AS mean_feature_psi,
-        (SELECT ks FROM ks) AS prediction_ks_statistic, max(psi) >= 0.25 OR avg(psi) >= 0.25 AS drift_detected,
+    return f"""SELECT {NOW} AS checked_at, (SELECT arg_max(model_version, created_at) FROM registry WHERE is_active) AS model_version,
+        string_agg(feature || ':' || CAST(CAST(psi AS DECIMAL(10,5)) AS VARCHAR), ',' ORDER BY feature) AS feature_psi,
+        max(psi) AS max_feature_psi, {r('avg(psi)')} AS mean_feature_psi,
+        (SELECT {r('ks')} FROM w_ks WHERE na >= 20 AND nb >= 20) AS prediction_ks_statistic,
+        (SELECT {r('CASE WHEN x < 0.2e0 THEN 1e0 ELSE least(greatest(2 * s, 0e0), 1e0) END')} FROM (
+          SELECT any_value(x) AS x, sum((CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END) * exp(-2e0 * k * k * x * x)) AS s
+          FROM (SELECT ks * sqrt(na * nb / (na + nb)) AS x FROM w_ks WHERE na >= 20 AND nb >= 20), range(1, 101) g(k)
+          HAVING count(*) > 0)) AS prediction_ks_pvalue,
+        max(psi) >= 0.25 OR avg(psi) >= 0.25 AS drift_detected,
         (max(psi) >= 0.25 OR avg(psi) >= 0.25) AND NOT {resting} AS retrain_triggered,
         CASE WHEN (max(psi) >= 0.25 OR avg(psi) >= 0.25) AND {resting} THEN '{reason}' END AS retrain_skipped_reason
-      FROM psi"""
+      FROM w_psi HAVING (SELECT count(*) FROM w_live_long) >= 20 * {len(FEATURE_COLUMNS)}"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -871,9 +886,17 @@ def oracle_sql() -> dict[str, str]:
     )
     put(
         "drift_baseline",
-        f"""SELECT '8' AS model_version, b.feature AS feature_name, len(e.edges) AS edges, b.bucket, {r('b.prob')} AS prob
-          FROM base_probs b JOIN psi_edges e ON e.feature = b.feature""",
-        "base_probs", "psi_edges",
+        f"""SELECT (SELECT arg_max(model_version, created_at) FROM registry WHERE is_active) AS model_version, b.feature AS feature_name,
+          len(e.edges) AS edges, b.bucket, {r('b.prob')} AS prob
+          FROM w_base_probs b JOIN w_psi_edges e ON e.feature = b.feature""",
+        "w_base_probs", "w_psi_edges", "registry",
+    )
+    put(
+        "baseline_scores",
+        f"""SELECT (SELECT arg_max(model_version, created_at) FROM registry WHERE is_active) AS model_version,
+          {r('fraud_probability')} AS score, count(*) AS n FROM preds, created
+          WHERE scored_at >= made - INTERVAL 72 HOUR AND scored_at < made GROUP BY fraud_probability""",
+        "preds", "created", "registry",
     )
     put(
         "baseline_store",
@@ -898,21 +921,16 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN drift_detected AND {resting} THEN '{_DRIFT_REASON.format(2880)}' END AS retrain_skipped_reason FROM drift_log""",
         "drift_log",
     )
-    put(
-        "drift_check",
-        f"""SELECT checked_at, model_version, max_feature_psi, {r('mean_feature_psi')} AS mean_feature_psi,
-          {r('prediction_ks_statistic')} AS prediction_ks_statistic, drift_detected, retrain_triggered, retrain_skipped_reason
-          FROM ({_checked_event()})""",
-        "psi", "ks", "drift_log",
-    )
-    events = "checked_at, model_version, {}, drift_detected, retrain_triggered, retrain_skipped_reason"
+    put("drift_check", _checked_event(), "w_psi", "w_live_long", "w_ks", "drift_log", "registry")
+    rest = "drift_detected, retrain_triggered, retrain_skipped_reason"
     put(
         "drift_event",
-        f"""SELECT {events.format('max_feature_psi, mean_feature_psi')} FROM drift_log
-          WHERE NOT (checked_at = {NOW} AND false)
-          UNION ALL SELECT {events.format(f"max_feature_psi, {r('mean_feature_psi')}")} FROM ({_checked_event()})
+        f"""SELECT checked_at, model_version, CAST(NULL AS VARCHAR) AS feature_psi, max_feature_psi, mean_feature_psi,
+            CAST(NULL AS DOUBLE) AS prediction_ks_statistic, CAST(NULL AS DOUBLE) AS prediction_ks_pvalue, {rest} FROM drift_log
+          UNION ALL SELECT checked_at, model_version, feature_psi, max_feature_psi, mean_feature_psi, prediction_ks_statistic,
+            prediction_ks_pvalue, {rest} FROM ({_checked_event()})
             WHERE (checked_at, model_version) NOT IN (SELECT (checked_at, model_version) FROM drift_log)""",
-        "psi", "ks", "drift_log",
+        "w_psi", "w_live_long", "w_ks", "drift_log", "registry",
     )
 
     # reports
@@ -966,6 +984,7 @@ def oracle_sql() -> dict[str, str]:
           inference_latency_ms, scored_at FROM preds ORDER BY scored_at DESC, txn_id DESC LIMIT 25""",
         "preds",
     )
+    events = "checked_at, model_version, {}, drift_detected, retrain_triggered, retrain_skipped_reason"
     put("recent_drift_events", f"SELECT {events.format('max_feature_psi, mean_feature_psi')} FROM drift_log ORDER BY 1 DESC LIMIT 10", "drift_log")
     put("recent_models", f"SELECT {flat} FROM registry ORDER BY created_at DESC LIMIT 10", "registry")
     hit = "count(*) FILTER (is_flagged AND is_fraud)"

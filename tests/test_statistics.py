@@ -210,3 +210,17 @@ def test_cumulative_sums_by_value(spark):
     for r in got:
         mine = values[keys == r.g]
         assert (r.n, r.n_before, r.n_total) == ((mine == r.v).sum(), (mine < r.v).sum(), len(mine))
+
+
+def test_stored_scores_replace_the_old_predictions(spark):
+    rng = np.random.default_rng(14)
+    old, new = rng.beta(2, 5, 900).round(3), rng.beta(2, 4, 400).round(3)
+    both = frame(spark, p=np.concatenate([old, new]), live=np.arange(1300) >= 900)
+    direct = metrics.ks_two_sample(both, "p", "live").first()
+    stored = drift.baseline_scores(frame(spark, fraud_probability=old), "7")
+    assert {r.score: r.n for r in stored.collect()} == {v: (old == v).sum() for v in old} and stored.first().model_version == "7"
+    rows = stored.select("score", F.col("n").alias("a"), F.lit(0).alias("b"))
+    rows = rows.unionByName(frame(spark, score=new).select("score", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    assert metrics.ks_of_counts(rows, "score", F.col("a"), F.col("b")).first() == direct
+    few = metrics.ks_of_counts(rows.where("b = 0 or score > 0.9"), "score", F.col("a"), F.col("b")).first()
+    assert few.ks_statistic is None and few.ks_pvalue is None
