@@ -1034,6 +1034,13 @@ def oracle_sql() -> dict[str, str]:
           FROM beh""",
         "beh",
     )
+    put(
+        "stream_labels",
+        """SELECT n.txn_id, n.is_fraud, n.label_source, n.delay_hours,
+          epoch_ms(CAST(ceil((m.us + m.delay_hours * 3.6e6 * 1e3) / 1000) AS BIGINT)) AS confirmed_at
+          FROM new_labels n JOIN matured m ON m.txn_id = n.txn_id""",
+        "new_labels", "matured",
+    )
     put("stream_pipeline", f"SELECT txn_id, user_id, txn_timestamp, {_SNAP_COLUMNS} FROM wire_snaps", "wire_snaps")
     put(
         "stream_online",
