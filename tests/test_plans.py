@@ -55,3 +55,7 @@ def test_ranks_take_three_scans(spark, folder, name):
     text = plan(QUERIES[name](spark, folder))
     scans = text.count("FileScan parquet")
     assert scans <= (6 if name in ("auc", "average_precision") else 3)
+
+
+def test_integrity_report_reads_each_table_once(spark, folder):
+    assert plan(QUERIES["integrity_report"](spark, folder)).count("FileScan parquet") == 3
