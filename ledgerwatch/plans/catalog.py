@@ -640,6 +640,16 @@ def thompson_route(spark, folder):
     return routing.route(tables.transactions(spark, folder).select("txn_id"), posteriors)
 
 
+@query
+def serving_modes(spark, folder):
+    """The models that score each transaction under either mode."""
+    serving = _serving_7_8(spark, folder).where("model_version in ('7', '8')")
+    posteriors = routing.bandit_posteriors(serving, tables.predictions(spark, folder), tables.labels(spark, folder))
+    posteriors, txns = small_table(posteriors), tables.transactions(spark, folder).select("txn_id")
+    modes = [routing.assign(txns, posteriors, m).withColumn("mode", F.lit(m)) for m in (routing.AB_TEST, routing.SHADOW)]
+    return modes[0].unionByName(modes[1])
+
+
 # -- graph -------------------------------------------------------------------------------
 
 

@@ -822,11 +822,15 @@ def oracle_sql() -> dict[str, str]:
         f"exp({beta.format('(y.a + i)', '(x.b + y.b)')} - ln(x.b + i) "
         f"- ({beta.format('(1e0 + i)', 'x.b')}) - ({beta.format('y.a', 'y.b')}))"
     )
-    put(
-        "thompson_route",
-        f"""SELECT txn_id, CASE WHEN {_uniform('txn_id')} < (
+    routed = f"""SELECT txn_id, CASE WHEN {_uniform('txn_id')} < (
             SELECT sum({term}) FROM posterior x, posterior y, range(100000) g(i)
-            WHERE x.model_version = '8' AND y.model_version = '7' AND i < x.a) THEN '8' ELSE '7' END AS model_version FROM txns""",
+            WHERE x.model_version = '8' AND y.model_version = '7' AND i < x.a) THEN '8' ELSE '7' END AS model_version FROM txns"""
+    put("thompson_route", routed, "txns", "posterior")
+    put(
+        "serving_modes",
+        f"""SELECT txn_id, model_version, false AS is_shadow, 'ab_test' AS mode FROM ({routed})
+          UNION ALL SELECT txn_id, '7', false, 'shadow' FROM txns
+          UNION ALL SELECT txn_id, 'shadow_8', true, 'shadow' FROM txns""",
         "txns", "posterior",
     )
     put("ab_route", f"SELECT txn_id, CASE WHEN ({_uniform('txn_id')}) * 100 < 30 THEN '8' ELSE '7' END AS model_version FROM txns", "txns")

@@ -144,3 +144,17 @@ def test_rounding_is_half_up(spark):
     assert rows.where(signals.rounded(F.col("v"), 3) != F.col("e")).count() == 0
     six = spark.createDataFrame([(v, e) for v, p, e in cases if p == 6], "v double, e double")
     assert six.where(signals.rounded(F.col("v"), 6) != F.col("e")).count() == 0
+
+
+def test_modes_of_serving(spark):
+    from ledgerwatch.operators.routing import assign
+
+    txns = spark.range(20).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("txn_id"))
+    both = spark.createDataFrame([("9", 0, 1.0, 1.0), ("8", 1, 1.0, 1.0)], "model_version string, slot int, alpha double, beta double")
+    shadow = {(r.txn_id, r.model_version, r.is_shadow) for r in assign(txns, both, "shadow").collect()}
+    assert shadow == {(f"t{k}", *x) for k in range(20) for x in (("8", False), ("shadow_9", True))}
+    for mode, posteriors in (("ab_test", both), ("shadow", both.where("slot = 0"))):
+        rows = assign(txns, posteriors, mode).collect()
+        assert len(rows) == 20 and not any(r.is_shadow for r in rows)
+    with pytest.raises(ValueError):
+        assign(txns, both, "canary")
