@@ -15,7 +15,7 @@ def docs_of(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            for name in ("kept", "keep_id", "size", "id", "row", "digest", "fp", "text_hash", "shard", "n_words", "words", "blob", "rank", "copies"):
+            for name in ("kept", "keep_id", "size", "id", "row", "digest", "fp", "text_hash", "shard", "n_words", "words", "blob", "rank", "copies", "quality", "toxic", "__id", "__hash", "__copy", "__digest", "__source", "__doc_id", "todo", "rules", "winner", "members"):
                 df = df.withColumn(name, F.lit("x"))
         return df
 
