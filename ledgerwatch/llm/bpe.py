@@ -4,12 +4,22 @@ A batch of texts becomes one array of code points. Array operations cut it into
 does; equal pre-tokens are found by a rolling 64-bit hash, and each distinct one is merged once. All distinct
 pre-tokens of a batch are merged together: in every round each sequence applies its own lowest-ranked pair at all its
 places, and sequences without a pair that can merge leave the arrays.
+
+A long sequence would need a round for nearly each of its pairs. It is merged in short windows that overlap by half, all
+windows in the same rounds. Where two neighbours have a token in common, the tokens of the first up to it are followed by
+those of the second behind it. That is exact: whether two tokens that follow each other stay apart depends on these two
+alone, and each two of the result follow each other in one of the windows. Sequences with an overlap without a common
+token, as in a run of one letter, are tried again in longer windows and at last as a whole.
+
+Defined results: an empty text has no ids; characters that Unicode leaves unassigned are neither letters, numbers nor white
+space; special strings in texts are one id each, the leftmost first and of those that start together the longest.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import sys
 import unicodedata
 
@@ -27,6 +37,10 @@ CHUNK = 1_000_000
 #: A worker remembers pre-tokens in this many places, one each, and up to this many ids for them.
 PLACES = 1 << 19
 REMEMBERED_IDS = 3_000_000
+#: Bytes of the windows in which sequences of more than ``LONG`` windows are merged, and bytes merged at once in them.
+WINDOWS = (64, 1024)
+LONG = 4
+_BYTES_AT_ONCE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -86,6 +100,12 @@ def cut(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def _pieces(data: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pieces of ``data`` one after another."""
+    upto = np.cumsum(sizes)
+    return data[np.repeat(firsts - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+
 class _PairTable:
     """Pairs of ids to their rank. A pair stands at one of two places, or in a short sorted rest."""
 
@@ -133,6 +153,9 @@ class PairMerger:
         self._table = _PairTable(np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64))
         self._merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self._bytes = np.array([vocab[x] for x in byte_letters()], dtype=np.int64)
+        self._widths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for entry, number in vocab.items():
+            self._widths[number] = len(entry)
         #: Strings that are one token wherever they stand.
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self._forget()
@@ -146,8 +169,57 @@ class PairMerger:
 
     # -- merging ---------------------------------------------------------------------
 
-    def merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, data: np.ndarray, sizes: np.ndarray, windows: tuple[int, ...] = WINDOWS) -> tuple[np.ndarray, np.ndarray]:
         """Ids of sequences of bytes, which stand in ``data`` one after another and are not empty, and their lengths."""
+        long = sizes > LONG * windows[0] if windows else np.zeros(len(sizes), dtype=bool)
+        if not long.any():
+            return self._merge_whole(data, sizes)
+        firsts = np.cumsum(sizes) - sizes
+        at = np.flatnonzero(long)
+        of, ids, whole = self._merge_long(data, firsts[at], sizes[at], windows[0])
+        owners, found = [at[of]], [ids]
+        short, rest = np.flatnonzero(~long), at[~whole]
+        for some, merge in ((short, self._merge_whole), (rest, functools.partial(self.merge, windows=windows[1:]))):
+            ids, counts = merge(_pieces(data, firsts[some], sizes[some]), sizes[some])
+            owners.append(np.repeat(some, counts))
+            found.append(ids)
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(found)[order], np.bincount(owner, minlength=len(sizes))
+
+    def _merge_long(self, data: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+        """The sequence of each id, the ids, and which sequences have come out whole; of the others there are no ids."""
+        step = span // 2
+        count = -(-(sizes - span) // step) + 1
+        of = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        start = firsts[of] + nth * step
+        width = np.minimum(span, firsts[of] + sizes[of] - start)
+        parts = []
+        for a in range(0, len(of), max(1, _BYTES_AT_ONCE // span)):
+            part = slice(a, a + max(1, _BYTES_AT_ONCE // span))
+            parts.append(self._merge_whole(_pieces(data, start[part], width[part]), width[part]))
+        ids, tokens = (np.concatenate(x) for x in zip(*parts))
+        window = np.repeat(np.arange(len(of)), tokens)
+        size = self._widths[ids]
+        end = np.cumsum(size) + (start - (np.cumsum(width) - width))[window]
+        begin = end - size
+        first, last = nth == 0, nth == count[of] - 1
+        # A window's second half is the first half of the next one.
+        middle = start + step
+        key = begin * (span + 1) + size
+        leaving = np.flatnonzero((begin >= middle[window]) & ~last[window])
+        coming = np.flatnonzero((end <= middle[window]) & ~first[window])
+        common = leaving[np.isin(key[leaving], key[coming], assume_unique=True)]
+        held, example = np.unique(window[common], return_index=True)
+        upto = np.where(last, start + width, -1)
+        upto[held] = end[common[example]]
+        since = np.where(first, start, np.r_[0, upto[:-1]])
+        whole = np.bincount(of[upto < 0], minlength=len(sizes)) == 0
+        taken = np.flatnonzero(whole[of[window]] & (begin >= since[window]) & (end <= upto[window]))
+        return of[window[taken]], ids[taken], whole
+
+    def _merge_whole(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         symbols = self._bytes[data]
         owner = np.repeat(np.arange(len(sizes)), sizes)
         done_owner, done_symbols = [], []
@@ -218,8 +290,7 @@ class PairMerger:
             widths = np.ones(len(points), dtype=np.int64) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
             place = np.r_[0, np.cumsum(widths)]
             a, b = place[starts[some]], place[ends[some]]
-            upto = np.cumsum(b - a)
-            return data[np.repeat(a - (upto - (b - a)), b - a) + np.arange(int(upto[-1]))], b - a
+            return _pieces(data, a, b - a), b - a
 
         return np.searchsorted(firsts, starts, side="right") - 1, self._entries(hashes, spelled)
 
@@ -228,15 +299,14 @@ class PairMerger:
     def _parts(self, texts: list[str]):
         """Texts cut at special strings: (parts, text of each part, special id after the part or -1)."""
         parts, owner, after = [], [], []
+        marks = sorted(self.special, key=len, reverse=True)
+        pattern = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         for i, text in enumerate(texts):
-            pieces = [(text, -1)]
-            for word, number in self.special.items():
-                if word in text:
-                    pieces = [(p, number if k + 1 < text.count(word) + 1 else -1) for k, p in enumerate(text.split(word))]
-            for piece, number in pieces:
-                parts.append(piece)
-                owner.append(i)
-                after.append(number)
+            pieces = pattern.split(text) if pattern and any(m in text for m in marks) else [text]
+            numbers = [self.special[m] for m in pieces[1::2]]
+            parts += pieces[::2]
+            owner += [i] * (len(numbers) + 1)
+            after += [*numbers, -1]
         return parts, np.array(owner, dtype=np.int64), np.array(after, dtype=np.int64)
 
     @staticmethod
