@@ -63,7 +63,7 @@ def shard_count(keys: int, keys_per_shard: int) -> int:
 def lookup(
     probes: DataFrame,
     index: DataFrame,
-    spread: str,
+    spread: str | list[str],
     find: Callable,
     schema: str,
     rows_per_group: int = 100_000,
@@ -76,7 +76,7 @@ def lookup(
     """
     sizes = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / rows_per_group).cast("int").alias("_cuts"))
     cut = probes.join(sizes, "shard").withColumn(
-        "_cut", F.pmod(F.xxhash64(F.col(spread), F.lit("cut")), F.col("_cuts")).cast("int")
+        "_cut", F.pmod(F.xxhash64(*([spread] if isinstance(spread, str) else spread), F.lit("cut")), F.col("_cuts")).cast("int")
     )
     copies = index.join(sizes, "shard").withColumn("_cut", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
     keys = ["shard", "_cut"]

@@ -4,23 +4,31 @@ The state has three tables. ``references`` holds every line with a long enough k
 ``counts`` holds per key the number of documents and the largest of their ids. ``filters`` holds per shard a cuckoo
 filter of the keys that are repeated often enough to be dropped. Inserting documents adds references and puts keys that
 reach the limit into the filter; deleting documents removes references, counts again and takes keys that fall below the
-limit out of the filter, which a cuckoo filter can do and a Bloom filter cannot. Each change writes new tables, so a
-failed one leaves the old state as it was.
+limit out of the filter, which a cuckoo filter can do and a Bloom filter cannot.
+
+Each table is a list of stored parts, one per change: what a change writes are its own references, or the ids that have
+gone, the counts of the keys it touches and the filters of the shards where a key has crossed the limit. Of a key or a shard
+the newest part counts. A failed change leaves the old state as it was. After ``PARTS`` changes the parts are folded into
+one, and dealt into more shards if the keys have become too many for the old ones.
 
 Documents are cleaned by their references: the shard's filter passes the few that may be repeated, the exact counts
 decide on these, and a document gets the positions to drop. Only documents' own texts travel to their positions. A
 shard whose lines are many, as one very common line makes it, is looked up in several parts.
 
-Defined results: a null or empty text is one empty line; rows with the same id are one document for the counts, and each
+``clean`` looks up the references of the documents it is given, not those of all.
+
+Defined results: a document that is inserted again with the same text changes nothing, and with another text has the lines
+of both until it is deleted; a null or empty text is one empty line; rows with the same id are one document for the counts, and each
 is cleaned; a null id counts as one document, the smallest; an empty table gives no rows; ``\\r`` before a line's end is part
 of the line but not of its key; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,6 +42,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 KEY_BYTES = 16
 KEYS_PER_SHARD = 200_000
+#: Changes between two foldings of the stored parts.
+PARTS = 16
 _SLOTS = 4
 _KICKS = 500
 _BLANK = " \t\n\x0b\x0c\r"
@@ -99,6 +109,9 @@ class CuckooFilter:
             else:
                 self.rest.remove(next(x for x in self.rest if x in ((a << 16) | m, (b << 16) | m)))
 
+    def has_room(self, more: int) -> bool:
+        return np.count_nonzero(self.table) + len(self.rest) + more <= 0.9 * self.table.size
+
     def crowded(self) -> bool:
         return len(self.rest) > 64 or bool(np.count_nonzero(self.table) > 0.95 * self.table.size)
 
@@ -162,7 +175,7 @@ def references(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str =
             columns = [pa.array(np.asarray(shard, dtype=np.int32)), pa.array(keys, pa.binary()), *own.columns, pa.array(places, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "key", "doc_id", "id", "row", "position"])
 
-    return plain.mapInArrow(lines, "shard int, key binary, doc_id long, id string, row long, position int")
+    return plain.mapInArrow(lines, _REFERENCES)
 
 
 def _count(refs: DataFrame) -> DataFrame:
@@ -172,79 +185,150 @@ def _count(refs: DataFrame) -> DataFrame:
 
 # -- the state ---------------------------------------------------------------------------
 
+_REFERENCES = "shard int, key binary, doc_id long, id string, row long, position int"
+_COUNTS = "shard int, key binary, n_docs long, keeper long, lines long"
+
+
+def _all(parts: tuple[DataFrame, ...]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
 
 @dataclass(frozen=True)
 class LineState:
-    """One version of the three tables, all stored."""
+    """The stored parts of the three tables, each row with the ``version`` that wrote it."""
 
-    references: DataFrame
-    counts: DataFrame
-    filters: DataFrame
+    added: tuple[DataFrame, ...]
+    removed: tuple[DataFrame, ...]
+    counted: tuple[DataFrame, ...]
+    filtered: tuple[DataFrame, ...]
     shards: int
     min_docs: int = MIN_DOCS
+    keys_per_shard: int = KEYS_PER_SHARD
+    version: int = 1
+
+    @property
+    def references(self) -> DataFrame:
+        rows = _all(self.added)
+        if self.removed:
+            gone = _all(self.removed).groupBy("id").agg(F.max("version").alias("gone"))
+            rows = rows.join(gone, "id", "left").where("gone is null or version > gone").drop("gone")
+        return rows.drop("version")
+
+    @property
+    def counts(self) -> DataFrame:
+        """(shard, key, n_docs, keeper, lines) of the keys that some document has."""
+        rows = _all(self.counted)
+        if len(self.counted) > 1:
+            newest = F.max(F.struct("version", "n_docs", "keeper", "lines")).alias("newest")
+            rows = rows.groupBy("shard", "key").agg(newest).select("shard", "key", "newest.*")
+        return rows.where("n_docs > 0").drop("version")
+
+    @property
+    def repeated(self) -> DataFrame:
+        return self.counts.where(F.col("n_docs") >= self.min_docs)
+
+    @property
+    def filters(self) -> DataFrame:
+        rows = _all(self.filtered)
+        if len(self.filtered) > 1:
+            marks = [f.split()[0] for f in _FILTER.split(", ")]
+            rows = rows.groupBy("shard").agg(F.max_by(F.struct(*marks), "version").alias("newest")).select("newest.*")
+        return rows.drop("version")
+
+
+def _stored(rows: DataFrame, version: int, name: str) -> DataFrame:
+    return persist_table(rows.withColumn("version", F.lit(version)), name)
+
+
+def _rebuilt(repeated: DataFrame) -> DataFrame:
+    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+        held = CuckooFilter.sized(2 * len(rows))
+        held.insert(_words(rows["key"]))
+        return _row(key[0], held)
 
+    return repeated.select("shard", "key").groupBy("shard").applyInPandas(build, _FILTER)
 
-def _changed_filters(filters: DataFrame, was: DataFrame, now: DataFrame) -> DataFrame:
-    """The filters after the keys held have changed; one that has become too full is built anew from the exact keys."""
-    keys = was.withColumn("old", F.lit(1)).join(now.withColumn("new", F.lit(1)), ["shard", "key"], "full")
-    keys = keys.where("old is null or new is null").select("shard", "key", F.col("old").isNull().alias("add"))
+
+def _changed_filters(state: LineState, moved: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The filters of the shards with a key in ``moved`` (shard, key, add); one without room is built anew from the exact keys."""
 
     def change(key, old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return _row(0, CuckooFilter(1)).iloc[:0]
         add = rows["add"].to_numpy(dtype=bool)
         held = _filter(old.iloc[0]) if len(old) else CuckooFilter.sized(2 * int(add.sum()))
         if not add.all():
             held.delete(_words(rows["key"][~add]))
-        if add.any():
-            held.insert(_words(rows["key"][add]))
-        return _row(key[0], held)
-
-    def rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
-        held = CuckooFilter.sized(2 * len(rows))
-        held.insert(_words(rows["key"]))
+        if not held.has_room(int(add.sum())):
+            return _row(key[0], held).assign(crowded=True)
+        held.insert(_words(rows["key"][add]))
         return _row(key[0], held)
 
-    changed = filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(change, _FILTER)
+    changed = state.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, _FILTER)
     changed = persist_table(changed, "line-filters")
     full = changed.where("crowded").select("shard")
-    rebuilt = now.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(rebuild, _FILTER)
-    return changed.where("not crowded").unionByName(rebuilt)
+    return changed.where("not crowded").unionByName(_rebuilt(repeated.join(full, "shard", "left_semi")))
 
 
 def start(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text", keys_per_shard: int = KEYS_PER_SHARD) -> LineState:
-    """The state of a first batch. The number of shards follows the number of documents."""
+    """The state of a first batch. The number of shards follows the number of documents, later that of the keys."""
     shards = shard_count(docs.count() * 16, keys_per_shard)
-    spark = docs.sparkSession
-    none = spark.createDataFrame([], "shard int, key binary, doc_id long, id string, row long, position int")
-    counts = spark.createDataFrame([], "shard int, key binary, n_docs long, keeper long, lines long")
-    return insert(LineState(none, counts, spark.createDataFrame([], _FILTER), shards, min_docs), docs, doc_id, text)
-
-
-def _next(state: LineState, refs: DataFrame, changed: DataFrame) -> LineState:
-    """The state with ``refs``, in which only the counts of the keys ``changed`` can differ from before."""
-    live = refs.join(changed, ["shard", "key"], "left_semi") if changed is not None else refs
-    fresh = _count(live)
-    kept = state.counts.join(changed, ["shard", "key"], "left_anti") if changed is not None else state.counts
-    counts = persist_table(kept.unionByName(fresh), "line-counts")
-    was = state.counts.where(F.col("n_docs") >= state.min_docs).select("shard", "key")
-    now = counts.where(F.col("n_docs") >= state.min_docs).select("shard", "key")
-    filters = persist_table(_changed_filters(state.filters, was, now), "line-filters")
-    return LineState(refs, counts, filters, state.shards, state.min_docs)
+    refs = _stored(references(docs, shards, doc_id, text), 1, "line-references")
+    counts = _stored(_count(refs), 1, "line-counts")
+    filters = _stored(_rebuilt(counts.where(F.col("n_docs") >= min_docs)), 1, "line-filters")
+    return LineState((refs,), (), (counts,), (filters,), shards, min_docs, keys_per_shard)
+
+
+def _recounted(old: LineState, state: LineState, touched: DataFrame) -> LineState:
+    """``state`` with the counts of the keys ``touched`` and the filters that change with them."""
+    fresh = _count(state.references.join(touched, ["shard", "key"], "left_semi"))
+    before = old.counts.select("shard", "key", F.col("n_docs").alias("was"))
+    rows = touched.join(fresh, ["shard", "key"], "left").join(before, ["shard", "key"], "left")
+    rows = persist_table(rows.fillna(0, ["n_docs", "lines", "was"]).withColumn("version", F.lit(state.version)), "line-counts")
+    state = replace(state, counted=(*state.counted, rows.drop("was")))
+    often = F.col("n_docs") >= state.min_docs
+    moved = rows.where(often != (F.col("was") >= state.min_docs)).select("shard", "key", often.alias("add"))
+    filters = _stored(_changed_filters(old, moved, state.repeated), state.version, "line-filters")
+    state = replace(state, filtered=(*state.filtered, filters))
+    return folded(state) if state.version % PARTS == 0 else state
 
 
 def insert(state: LineState, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LineState:
-    """The state after documents that it does not know have come in."""
-    new = persist_table(references(docs, state.shards, doc_id, text), "line-references")
-    first = not state.references.take(1)
-    refs = new if first else persist_table(state.references.unionByName(new), "line-references")
-    return _next(state, refs, None if first else new.select("shard", "key").distinct())
+    """The state after documents have come in."""
+    version = state.version + 1
+    new = _stored(references(docs, state.shards, doc_id, text), version, "line-references")
+    touched = persist_table(new.select("shard", "key").distinct(), "line-keys")
+    return _recounted(state, replace(state, added=(*state.added, new), version=version), touched)
 
 
 def delete(state: LineState, ids: DataFrame, doc_id: str = "doc_id") -> LineState:
     """The state after the documents with these ids have gone."""
-    ids = ids.select(id_key(doc_id).alias("id")).distinct()
-    out = state.references.join(ids, "id", "left_semi").select("shard", "key").distinct()
-    refs = persist_table(state.references.join(ids, "id", "left_anti"), "line-references")
-    return _next(state, refs, persist_table(out, "line-keys"))
+    version = state.version + 1
+    gone = _stored(ids.select(id_key(doc_id).alias("id")).distinct(), version, "line-ids")
+    touched = state.references.join(gone.select("id"), "id", "left_semi").select("shard", "key").distinct()
+    return _recounted(state, replace(state, removed=(*state.removed, gone), version=version), persist_table(touched, "line-keys"))
+
+
+def folded(state: LineState) -> LineState:
+    """The same state in one part per table, in more shards if their keys have become twice too many."""
+    shards = max(state.shards, shard_count(state.counts.count(), 2 * state.keys_per_shard))
+
+    def dealt(rows: DataFrame, schema: str) -> DataFrame:
+        if shards == state.shards:
+            return rows
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard = _words(batch.column("key").to_pylist())[:, 0] % np.uint64(shards)
+                yield batch.set_column(batch.schema.get_field_index("shard"), "shard", pa.array(shard.astype(np.int32)))
+
+        return rows.select(*[f.split()[0] for f in schema.split(", ")]).mapInArrow(deal, schema)
+
+    refs = _stored(dealt(state.references, _REFERENCES), state.version, "line-references")
+    counts = _stored(dealt(state.counts, _COUNTS), state.version, "line-counts")
+    repeated = counts.where(F.col("n_docs") >= state.min_docs)
+    filters = _stored(state.filters if shards == state.shards else _rebuilt(repeated), state.version, "line-filters")
+    return replace(state, added=(refs,), removed=(), counted=(counts,), filtered=(filters,), shards=shards)
 
 
 def _pass(probes: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
@@ -254,12 +338,13 @@ def _pass(probes: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
     return probes[names][_filter(row.iloc[0]).contains(_words(probes["key"]))]
 
 
-def dropped_positions(state: LineState) -> DataFrame:
-    """(id, row, positions) of the documents that lose lines."""
-    probes = state.references.select("shard", "key", F.col("doc_id").cast("string").alias("keeper_mark"), "id", "row", "position")
+def dropped_positions(state: LineState, ids: DataFrame | None = None) -> DataFrame:
+    """(id, row, positions) of the documents that lose lines; of those in ``ids`` (id) alone, if given."""
+    refs = state.references if ids is None else state.references.join(ids, "id", "left_semi")
+    probes = refs.select("shard", "key", F.col("doc_id").cast("string").alias("keeper_mark"), "id", "row", "position")
     schema = "shard int, key binary, keeper_mark string, id string, row long, position int"
-    maybe = lookup(probes, state.filters, "id", _pass, schema, rows_per_group=250_000)
-    often = state.counts.where(F.col("n_docs") >= state.min_docs).select("shard", "key", F.col("keeper").cast("string").alias("_keeper"))
+    maybe = lookup(probes, state.filters, ["id", "row", "position"], _pass, schema, rows_per_group=250_000)
+    often = state.repeated.select("shard", "key", F.col("keeper").cast("string").alias("_keeper"))
     lost = maybe.join(often, ["shard", "key"]).where(~F.col("keeper_mark").eqNullSafe(F.col("_keeper")))
     return lost.groupBy("id", "row").agg(F.collect_set("position").alias("positions"))
 
@@ -270,11 +355,12 @@ def _kept(lines: Column, positions: Column) -> Column:
     return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
-def clean(state: LineState, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, kept_text."""
+def clean(state: LineState, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, kept_text. ``every``: ``docs`` are all the state knows."""
     body = text_of(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), id_key(doc_id).alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
-    rows = rows.join(dropped_positions(state), ["id", "row"], "left")
+    ids = None if every else rows.select("id").distinct()
+    rows = rows.join(dropped_positions(state, ids), ["id", "row"], "left")
     rows = rows.withColumn("_lines", F.split("text", "\n", -1))
     kept = F.when(F.col("positions").isNull(), F.col("text")).otherwise(_kept(F.col("_lines"), F.col("positions")))
     return rows.select(
@@ -287,4 +373,4 @@ def clean(state: LineState, docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents in one batch, cleaned."""
-    return clean(start(docs, doc_id=doc_id, text=text), docs, doc_id, text)
+    return clean(start(docs, doc_id=doc_id, text=text), docs, doc_id, text, every=True)
