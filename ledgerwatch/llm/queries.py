@@ -15,6 +15,7 @@ from ledgerwatch.llm.license_scan import license_scan, registered_templates
 from ledgerwatch.llm.line_dedup import line_dedup
 from ledgerwatch.llm.mixing import MAX_EPOCHS, SEED, mix
 from ledgerwatch.llm.packing import pack
+from ledgerwatch.llm.pipeline import run as pipeline
 from ledgerwatch.llm.quality_classifier import classify
 from ledgerwatch.llm.quality_rules import MIN_WORDS, PRIOR, RULES as QUALITY, quality_rules
 from ledgerwatch.llm.secret_scan import BASE as BASE_SECRETS, RULES as SECRETS, secret_scan
@@ -108,8 +109,6 @@ def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    import corpus_pipeline
-
     named = [
         op1_line_dedup,
         op2_best_fit_packing,
@@ -125,7 +124,7 @@ def queries() -> dict[str, Query]:
         op12_alignment,
         op13_decontamination,
     ]
-    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 
 # -- SQL ---------------------------------------------------------------------------------
