@@ -29,10 +29,11 @@ from ledgerwatch.schema import (
 )
 
 _SCALE = 1_000_000
+_LIMB = 10**11
 # What each family of features sums up; a family that is not asked for costs nothing.
 _TOTALS = {
     "velocity": ["n_24h", "n_1h"],
-    "amount": ["n_24h", "s1", "s2"],
+    "amount": ["n_24h", "hi", "lo", "hi_hi", "hi_lo", "lo_lo"],
     "merchants": ["m_24h", "m_1h"],
     "last": [],
 }
@@ -55,18 +56,42 @@ def _units(amount: Column) -> Column:
     return F.round(amount * _SCALE).cast("decimal(24,0)")
 
 
-def _mean_and_std(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
-    """Mean and population deviation from exact sums of millionths.
+def _halves(units: Column) -> tuple[Column, Column]:
+    """Upper and lower half of whole millionths: ``units = hi * _LIMB + lo``, both below ``_LIMB`` up to 1e16 in money."""
+    lo = F.pmod(units, F.lit(_LIMB).cast("decimal(12,0)")).cast("bigint")
+    hi = F.round((units - lo) / F.lit(_LIMB).cast("decimal(12,0)"), 0).cast("bigint")
+    return hi, lo
 
-    The squares are taken around the rounded mean, in decimal arithmetic, so equal
-    amounts give exactly 0.
+
+def _mean_and_std(n: Column, hi: Column, lo: Column, hi_hi: Column, hi_lo: Column, lo_lo: Column) -> tuple[Column, Column]:
+    """Mean and population deviation from exact sums of the halves of amounts and of their products.
+
+    ``n * sum(a * a) - sum(a) ** 2`` is a whole number of up to 60 digits. It is made of three products, each of which
+    fits, and carried into digits of base ``_LIMB``; nothing cancels after it becomes a double, so equal amounts give
+    exactly 0. A window holds up to 90 million rows.
     """
-    centre = F.coalesce(F.round(F.try_divide(s1, n), 0), F.lit(0)).cast("decimal(24,0)")
-    rest = ratio(s1 - n * centre, n)
-    spread = ratio(s2 - 2 * centre * s1 + n * centre * centre, n)
-    variance = spread - rest * rest
-    mean = F.coalesce(ratio(s1, n) / _SCALE, F.lit(0.0))
-    std = F.when(n >= 2, F.sqrt(F.greatest(variance, F.lit(0.0))) / _SCALE).otherwise(F.lit(0.0))
+    whole, limb = "decimal(38,0)", F.lit(_LIMB).cast("decimal(12,0)")
+    wide_n, wide_hi, wide_lo = (c.cast("decimal(19,0)") for c in (n, hi, lo))
+
+    def product(a: Column, b: Column) -> Column:
+        return (a * b).cast(whole)
+
+    def carry(value: Column) -> tuple[Column, Column]:
+        digit = F.pmod(value, limb).cast("decimal(12,0)")
+        return F.round((value - digit).cast(whole) / limb, 0).cast(whole), digit
+
+    # The products of sums carry up to 38 digits, as long as n times the larger factor does.
+    high = (product(wide_n, hi_hi.cast("decimal(32,0)")) - product(wide_hi, wide_hi)).cast(whole)
+    mixed = (product(wide_n, hi_lo.cast("decimal(32,0)")) - product(wide_hi, wide_lo)).cast(whole)
+    low = (product(wide_n, lo_lo.cast("decimal(32,0)")) - product(wide_lo, wide_lo)).cast(whole)
+    up, digit_0 = carry(low)
+    up, digit_1 = carry((mixed * 2 + up).cast(whole))
+    top = (high + up).cast(whole)
+    base = float(_LIMB)
+    squares = (top.cast("double") * base + digit_1.cast("double")) * base + digit_0.cast("double")
+    total = (wide_hi * limb).cast(whole) + wide_lo
+    mean = F.coalesce(ratio(total, n) / _SCALE, F.lit(0.0))
+    std = F.when(n >= 2, ratio(F.sqrt(squares), n) / _SCALE).otherwise(F.lit(0.0))
     return mean, std
 
 
@@ -105,9 +130,12 @@ def _moves(near: DataFrame, families: tuple[str, ...], extras: list[str]) -> Dat
     if "velocity" in families:
         enters["n_1h"], leaves_hour["n_1h"] = one, -one
     if "amount" in families:
-        value, square = a.cast("decimal(38,0)"), (a * a).cast("decimal(38,0)")
-        enters |= {"s1": value, "s2": square}
-        leaves_day |= {"s1": -value, "s2": -square}
+        hi, lo = _halves(a)
+        parts = {"hi": hi, "lo": lo}
+        for name, x, y in (("hi_hi", hi, hi), ("hi_lo", hi, lo), ("lo_lo", lo, lo)):
+            parts[name] = (x.cast("decimal(11,0)") * y.cast("decimal(11,0)")).cast("decimal(38,0)")
+        enters |= parts
+        leaves_day |= {name: -value for name, value in parts.items()}
     if "last" in families:
         enters["seen"] = F.struct(us.alias("us"), F.col("_country").alias("country"))
     if "merchants" in families:
@@ -194,7 +222,7 @@ def behaviour(
         found["txn_velocity_1h"] = total["n_1h"] + 1
         found["txn_velocity_24h"] = total["n_24h"] + 1
     if "amount" in families:
-        mean, std = _mean_and_std(total["n_24h"], total["s1"], total["s2"])
+        mean, std = _mean_and_std(total["n_24h"], *[total[c] for c in ("hi", "lo", "hi_hi", "hi_lo", "lo_lo")])
         scanned = scanned.withColumns({"_mean": mean, "_std": std})
         found["amount_mean_24h"] = rounded(F.col("_mean"), 6)
         found["amount_std_24h"] = rounded(F.col("_std"), 6)
