@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerwatch.functions.signals import hash_uniform
+from ledgerwatch.functions.signals import hash_uniform, ratio
 from ledgerwatch.operators.joins import dedup_latest
 from ledgerwatch.operators.metrics import class_balance
 from ledgerwatch.operators.ordering import percentiles
@@ -111,10 +111,15 @@ def linear_weights(model: PipelineModel, features: list[str] = FEATURE_COLUMNS)
 
 
 def attributions(df: DataFrame, weights: dict[str, float], background: DataFrame | None = None) -> DataFrame:
-    """Adds ``phi_<feature>``: the exact Shapley value of a linear score, weight times distance from the mean."""
-    means = (background if background is not None else df).agg(
-        F.struct(*[F.avg(F.col(c).cast("double")).alias(c) for c in weights]).alias("means")
-    )
+    """Adds ``phi_<feature>``: the exact Shapley value of a linear score, weight times distance from the mean.
+
+    Means are taken of exact sums to the twelfth decimal place, so they do not depend on the order of the rows.
+    """
+
+    def mean(c: str) -> Column:
+        return ratio(F.sum(F.col(c).cast("decimal(38,12)")), F.count(c))
+
+    means = (background if background is not None else df).agg(F.struct(*[mean(c).alias(c) for c in weights]).alias("means"))
     shifted = df.withColumn("_means", means.scalar())
     phi = {f"phi_{c}": F.lit(w) * (F.col(c).cast("double") - F.col(f"_means.{c}")) for c, w in weights.items()}
     return shifted.withColumns(phi).drop("_means")

@@ -505,13 +505,13 @@ def shadow_scores(spark, folder):
 @query
 def attributions(spark, folder):
     rows = scoring.attributions(snapshots(spark, folder), WEIGHTS)
-    return rows.select("txn_id", *[signals.rounded(F.col(f"phi_{c}"), 4).alias(f"phi_{c}") for c in FEATURE_COLUMNS])
+    return rows.select("txn_id", *[signals.rounded(F.col(f"phi_{c}"), 6).alias(f"phi_{c}") for c in FEATURE_COLUMNS])
 
 
 @query
 def attribution_summary(spark, folder):
     summary = scoring.attribution_summary(scoring.attributions(snapshots(spark, folder), WEIGHTS))
-    return summary.withColumn("mean_abs_attribution", signals.rounded(F.col("mean_abs_attribution"), 4))
+    return summary.withColumn("mean_abs_attribution", signals.rounded(F.col("mean_abs_attribution"), 6))
 
 
 @query
@@ -521,7 +521,7 @@ def topk_attributions(spark, folder):
     flagged = tables.predictions(spark, folder).where("is_flagged").select("txn_id")
     top = scoring.top_attributions(explained).join(flagged, "txn_id")
     rows = top.select("txn_id", F.posexplode("top_features").alias("place", "t"))
-    size = signals.rounded(F.col("t.attribution"), 4)
+    size = signals.rounded(F.col("t.attribution"), 6)
     return rows.select("txn_id", "place", "t.feature", size.alias("attribution"), "t.feature_value")
 
 

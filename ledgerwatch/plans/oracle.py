@@ -388,7 +388,7 @@ _CTES["w_ks"] = (
 _CTES["phi"] = (
     ("snaps",),
     "SELECT txn_id, "
-    + ", ".join(f"{w}e0 * ({c} - avg({c}) OVER ()) AS phi_{c}, CAST({c} AS DOUBLE) AS {c}" for c, w in _WEIGHTS.items())
+    + ", ".join(f"{w}e0 * ({c} - CAST(sum(CAST({c} AS DECIMAL(24, 6))) OVER () AS DOUBLE) / count({c}) OVER ()) AS phi_{c}, CAST({c} AS DOUBLE) AS {c}" for c, w in _WEIGHTS.items())
     + " FROM snaps",
 )
 _CTES["grid"] = (
@@ -752,12 +752,12 @@ def oracle_sql() -> dict[str, str]:
     )
     put(
         "attributions",
-        "SELECT txn_id, " + ", ".join(f"{r(f'phi_{c}', 4)} AS phi_{c}" for c in FEATURE_COLUMNS) + " FROM phi",
+        "SELECT txn_id, " + ", ".join(f"{r(f'phi_{c}')} AS phi_{c}" for c in FEATURE_COLUMNS) + " FROM phi",
         "phi",
     )
     put(
         "attribution_summary",
-        "UNPIVOT (SELECT " + ", ".join(f"{r(f'avg(abs(phi_{c}))', 4)} AS {c}" for c in FEATURE_COLUMNS)
+        "UNPIVOT (SELECT " + ", ".join(f"{r(f'avg(abs(phi_{c}))')} AS {c}" for c in FEATURE_COLUMNS)
         + f" FROM phi) ON {_SNAP_COLUMNS} INTO NAME feature VALUE mean_abs_attribution",
         "phi",
     )
@@ -766,7 +766,7 @@ def oracle_sql() -> dict[str, str]:
     )
     put(
         "topk_attributions",
-        f"""SELECT txn_id, place, feature, {r('a', 4)} AS attribution, {r('v')} AS feature_value FROM (
+        f"""SELECT txn_id, place, feature, {r('a')} AS attribution, {r('v')} AS feature_value FROM (
             SELECT e.*, row_number() OVER (PARTITION BY e.txn_id ORDER BY round(abs(a), 9) DESC, pos) - 1 AS place
             FROM ({entries}) e JOIN preds p ON p.txn_id = e.txn_id WHERE p.is_flagged) WHERE place < 5""",
         "phi", "preds",
