@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerwatch.operators.joins import dedup_latest
 
@@ -49,15 +49,33 @@ def log_predictions(transactions: DataFrame, predictions: DataFrame, scored: Dat
     return stored, predictions.unionByName(scored.select(*keep))
 
 
-def append_new(path: str, rows: DataFrame, keys: list[str], partition: str | None = None) -> None:
-    """Append to a Parquet folder what it does not hold yet; running it again adds nothing."""
+def append_new(
+    path: str, rows: DataFrame, keys: list[str], day: str | Column, run: str = "none", batch: int = 0
+) -> None:
+    """Append to a Parquet folder what it does not hold yet; running it again adds nothing.
+
+    ``day`` is a date that follows from the key, as a transaction's own time does; rows without one share a day. The table
+    has a folder per day, run and batch. Stored keys are read of the days that ``rows`` touches and of no others, so a
+    batch costs what these days hold, however long the history is. The folders of ``run`` and ``batch`` are overwritten
+    and do not count as held: a batch that failed halfway and is repeated ends as if it had been written once.
+    The days of one batch, a few by the delay of a stream, are listed on the driver.
+    """
     spark = rows.sparkSession
+    marked = rows.withColumns({"day": day if isinstance(day, Column) else F.col(day), "run": F.lit(run), "batch": F.lit(batch).cast("bigint")})
+    marked = marked.withColumn("day", F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("none")))
+    days = [r.day for r in marked.select("day").distinct().collect()]
+    if not days:
+        return
+    marks = [T.StructField("day", T.StringType()), T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
+    folders = f"{path}/day={{{','.join(sorted(days))}}}"
     try:
-        stored = spark.read.schema(rows.schema).parquet(path)
-        fresh = new_rows(stored, rows, keys)
+        stored = spark.read.schema(T.StructType([*rows.schema.fields, *marks])).option("basePath", path).parquet(folders)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        fresh = rows.dropDuplicates(keys)
-    writer = fresh.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+        fresh = marked.dropDuplicates(keys)
+    else:
+        held = stored.where(~((F.col("run") == run) & (F.col("batch") == batch)))
+        fresh = new_rows(held, marked, keys)
+    # Only the folders of this batch are replaced.
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run", "batch").parquet(path)

@@ -39,10 +39,35 @@ def test_backfill_sets_all_rows_of_a_key(spark):
 
 def test_append_new_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
-    for _ in range(2):
-        sinks.append_new(path, table(spark, [("a", 1), ("b", 2), ("b", 2)]), ["k"])
-    sinks.append_new(path, table(spark, [("b", 5), ("c", 3)]), ["k"])
-    assert as_dict(spark.read.parquet(path)) == {"a": 1, "b": 2, "c": 3}
+    day = F.make_date(F.lit(2024), F.lit(1), F.ascii("k") - 96)
+    for run in ("x", "y"):
+        sinks.append_new(path, table(spark, [("a", 1), ("b", 2), ("b", 2)]), ["k"], day, run)
+    sinks.append_new(path, table(spark, [("b", 5), ("c", 3)]), ["k"], day, "x", 1)
+    sinks.append_new(path, table(spark, []), ["k"], day, "x", 2)
+    got = spark.read.parquet(path)
+    assert got.count() == 3 and as_dict(got) == {"a": 1, "b": 2, "c": 3}
+
+
+def test_append_new_repeats_a_batch_that_failed_halfway(spark, tmp_path):
+    path = str(tmp_path / "t")
+    day = F.make_date(F.lit(2024), F.lit(1), F.col("v"))
+    sinks.append_new(path, table(spark, [("a", 1)]), ["k"], day, "x", 0)
+    for rows in ([("b", 1), ("c", None)], [("b", 1), ("c", None), ("d", 2), ("a", 1)]):
+        sinks.append_new(path, table(spark, rows), ["k"], day, "x", 1)
+    got = spark.read.parquet(path)
+    assert got.count() == 4 and as_dict(got) == {"a": 1, "b": 1, "c": None, "d": 2}
+
+
+def test_append_new_reads_only_the_days_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    day = F.make_date(F.lit(2024), F.lit(1), F.col("v"))
+    sinks.append_new(path, table(spark, [(f"k{i}", i) for i in range(1, 6)]), ["k"], day, "x", 0)
+    # Other days are never opened: a file that is no Parquet would fail the append.
+    for other in (1, 2, 4, 5):
+        (tmp_path / "t" / f"day=2024-01-0{other}" / "run=x" / "batch=0" / "broken.parquet").write_text("no parquet")
+    sinks.append_new(path, table(spark, [("k3", 3), ("k9", 3)]), ["k"], day, "x", 1)
+    held = spark.read.option("basePath", path).parquet(f"{path}/day=2024-01-03")
+    assert sorted(r.k for r in held.collect()) == ["k3", "k9"]
 
 
 def models(spark, aucs, active=True):
