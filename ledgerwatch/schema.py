@@ -67,8 +67,8 @@ RETRAIN_COOLDOWN_MINUTES = 60
 KEEP_ACTIVE_MODELS = 3
 SERVING_MODELS = 2
 MODEL_NAME = "fraud-model"
-# Amounts from here on are quarantined: a stored amount has 16 digits before the point.
-MAX_AMOUNT = 1e16
+# Amounts from here on are quarantined: the exact sums of squares hold ten thousand smaller ones per window.
+MAX_AMOUNT = 1e11
 
 TXN_FIELDS = [
     "txn_id",

@@ -1,8 +1,6 @@
 """Window boundaries, ties and defaults of the behavioural features, and brute force on skewed data."""
 
-import math
 import random
-from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,28 +100,3 @@ def test_hot_user_equals_brute_force(make_txns, segment_rows):
         for r in behaviour(make_txns(rows), segment_rows=segment_rows).collect()
     }
     assert got == brute_force(rows)
-
-
-@pytest.mark.parametrize("segment_rows", [10**9, 20])
-def test_amounts_of_any_size_are_exact(make_txns, segment_rows):
-    """Sixteen digits before the point, and amounts on both sides of the point where their halves are cut."""
-    rng = random.Random(11)
-    sizes = {
-        "big": lambda: float(rng.randrange(10**15, 9 * 10**15)),
-        "same": lambda: 8_765_432_109_876_543.0,
-        "edge": lambda: 100_000 + rng.choice([-0.000001, 0.0, 0.000001]),
-        "far": lambda: rng.choice([0.01, 7e15]),
-        "near": lambda: 4e9 + rng.randrange(4) / 4,
-    }
-    rows = [(f"{u}{i:02d}", u, i * 900, size(), "m", "IN", "d") for u, size in sizes.items() for i in range(60)]
-    got = {r.txn_id: r for r in behaviour(make_txns(rows), segment_rows=segment_rows).collect()}
-    for t, u, s, _, *_ in rows:
-        past = [round(r[3] * 1_000_000) for r in rows if r[1] == u and s - DAY < r[2] < s]
-        n = len(past)
-        squares = n * sum(a * a for a in past) - sum(past) ** 2
-        mean = Fraction(sum(past), n * 10**6) if n else 0
-        std = math.sqrt(Fraction(squares, n * n)) / 1e6 if n > 1 else 0.0
-        assert got[t].amount_mean_24h == pytest.approx(float(mean), rel=1e-14, abs=1e-6)
-        assert got[t].amount_std_24h == pytest.approx(std, rel=1e-12, abs=1e-6)
-        if u == "same":
-            assert got[t].amount_std_24h == 0.0
