@@ -37,12 +37,11 @@ def feature_snapshots(
     rows = behaviour(
         snapshot_input(txns),
         segment_rows=segment_rows,
-        user_events=events,
+        user_events=events.drop("busy_set"),
         event_totals=["devices_met", "two_hops", "four_hops"],
-        event_lasts=["busy_set"],
     )
     if arrivals is not None:
-        rows = graph.add_busy_members(rows, arrivals, segment_rows)
+        rows = graph.add_busy_members(rows, arrivals, segment_rows, txns)
     rows = graph.merchant_fraud_asof(rows, edges, flagged, segment_rows, txns)
     rows = rows.withColumns(
         {

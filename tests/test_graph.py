@@ -64,6 +64,40 @@ def test_shared_devices_asof(make_txns, limit):
     assert got == {r[0]: len(device_neighbours(rows, r[1], r[2])) for r in rows}
 
 
+def met_rows(users, devices, each, seed):
+    rng = random.Random(seed)
+    return [
+        (f"t{u}-{i}", f"u{u}", rng.randrange(0, 3000), 1.0, "m", "IN", f"d{rng.randrange(devices)}") for u in range(users) for i in range(each)
+    ]
+
+
+@pytest.mark.parametrize("wide", [0, 2, 8])
+@pytest.mark.parametrize("users, devices, each, segment_rows", [(30, 6, 5, 10**9), (30, 6, 5, 20), (40, 3, 9, 20)])
+def test_busy_devices_by_subsets_sets_and_pairs(make_txns, monkeypatch, wide, users, devices, each, segment_rows):
+    """Users of few, many and, with few devices, the same busy devices."""
+    monkeypatch.setattr(graph, "WIDE", wide)
+    rows = met_rows(users, devices, each, wide)
+    txns = make_txns(rows)
+    events, busy = graph.shared_device_events(graph.build_edges(txns), 1)
+    df = behaviour(txns, user_events=events.drop("busy_set"), event_totals=["devices_met"])
+    df = graph.add_busy_members(df, busy, segment_rows, txns)
+    got = {r.txn_id: r.devices_met for r in df.select("txn_id", "devices_met").collect()}
+    assert got == {r[0]: len(device_neighbours(rows, r[1], r[2])) for r in rows}
+
+
+def test_busy_devices_take_rows_by_edges_and_questions(make_txns, monkeypatch):
+    """600 users with three of 30 busy devices, nearly each with a set of its own: sets times members were some 60,000 rows."""
+    rows = met_rows(600, 30, 3, 1)
+    txns = make_txns(rows)
+    kept, persist = {}, graph.persist_table
+    monkeypatch.setattr(graph, "persist_table", lambda df, label: kept.setdefault(label, persist(df, label)))
+    events, busy = graph.shared_device_events(graph.build_edges(txns), 10)
+    assert busy.count() <= 1800
+    graph.add_busy_members(behaviour(txns, user_events=events.drop("busy_set"), event_totals=["devices_met"]), busy).count()
+    # At most seven subsets for each user and, on the way, one, three and seven for the three questions.
+    assert kept["busy_moves"].count() <= 600 * (7 + 1 + 3 + 7)
+
+
 def hops(rows, flagged, user, until):
     """Breadth-first search from the user over devices and merchants seen by then."""
     by_entity, by_user = defaultdict(set), defaultdict(set)
