@@ -52,6 +52,23 @@ def test_few_rows_per_edge_on_busy_devices(spark):
         assert got[user] == sum(bool(held[user] & d) for d in held.values()) - 1
 
 
+@pytest.mark.parametrize("wide", [0, 2, 8])
+def test_shared_devices_by_subsets_and_bits(make_txns, monkeypatch, wide):
+    """Two users of the same three devices and others of one or two: counts by subsets, and by bits beyond the limit."""
+    monkeypatch.setattr(graph, "WIDE", wide)
+    rows = make_rows()
+    got = graph.shared_device_count(graph.build_edges(make_txns(rows))).collect()
+    assert {r.user_id: r.shared_device_count for r in got} == {u: len(device_neighbours(rows, u)) for u in {r[1] for r in rows}}
+
+
+def test_few_devices_make_no_cells(make_txns, monkeypatch):
+    """Cells per set and device grow with the users of the device; users of few devices need none."""
+    monkeypatch.setattr(graph, "device_cells", None)
+    rows = make_rows()
+    got = graph.shared_device_count(graph.build_edges(make_txns(rows))).collect()
+    assert {r.user_id: r.shared_device_count for r in got} == {u: len(device_neighbours(rows, u)) for u in {r[1] for r in rows}}
+
+
 @pytest.mark.parametrize("limit", [1000, 3, 1])
 def test_shared_devices_asof(make_txns, limit):
     rows = make_rows()
