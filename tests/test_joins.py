@@ -1,10 +1,11 @@
 import random
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators.joins import asof_join, dedup_latest, latest_per_user
-from ledgerwatch.operators.segments import cut_points
+from ledgerwatch.operators.segments import _with_segment, cut_points
 from ledgerwatch.schema import DAY_US, HOUR_US
 from tests.conftest import BASE_US
 
@@ -65,3 +66,19 @@ def test_large_keys_are_cut_by_their_own_rows(spark):
         assert len(ends) == 256 and max(sizes) < 30
     empty = spark.createDataFrame([], "k string, at long")
     assert cut_points(empty, ["k"], "at", 100) is None
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 128, 1000, 4095])
+def test_a_row_meets_few_cuts(spark, n):
+    """Segments are those of a plain search, and no row is joined to all cuts of its key or compared with them one by one."""
+    ends = [10 * i for i in range(n)]
+    cuts = spark.createDataFrame([("a", ends), ("b", [5])], "k string, _cuts array<bigint>")
+    places = [None, -1, 0, 1, *random.Random(n).choices(range(10 * n), k=200), 10 * n - 10, 10 * n - 9, 10 * n]
+    rows = spark.createDataFrame([(k, p) for k in ("a", "b", "c", None) for p in places], "k string, at bigint")
+    found = _with_segment(rows, ["k"], "at", cuts)
+    of = {"a": ends, "b": [5]}
+    assert found.columns == ["k", "at", "_seg"]
+    for r in found.collect():
+        assert r["_seg"] == (0 if r["at"] is None else bisect_left(of.get(r.k, []), r["at"])), r
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "filter(" not in text and "_near" in text
