@@ -33,20 +33,24 @@ class Maturity(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", _DUE, _WAITING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        arrived = {}
         for row in rows:
-            if row.due_ms is None:
-                continue
-            held = json.loads(self.waiting.getValue((row.due_ms,))[0]) if self.waiting.containsKey((row.due_ms,)) else []
-            self.waiting.updateValue((row.due_ms,), (json.dumps([*held, row.carried]),))
-            self.handle.registerTimer(row.due_ms)
+            if row.due_ms is not None:
+                arrived.setdefault(row.due_ms, []).append(row.carried)
+        for due_ms, carried in arrived.items():
+            due = (due_ms,)
+            held = json.loads(self.waiting.getValue(due)[0]) if self.waiting.containsKey(due) else []
+            self.waiting.updateValue(due, (json.dumps([*held, *carried]),))
+            if not held:
+                self.handle.registerTimer(due_ms)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = (expiredTimerInfo.getExpiryTimeInMs(),)
-        if self.waiting.containsKey(due):
-            for carried in json.loads(self.waiting.getValue(due)[0]):
-                yield Row(due_ms=due[0], carried=carried)
-            self.waiting.removeKey(due)
+        # A timer has an entry: both come and go together.
+        for carried in json.loads(self.waiting.getValue(due)[0]):
+            yield Row(due_ms=due[0], carried=carried)
+        self.waiting.removeKey(due)
 
     def close(self) -> None:
         pass
