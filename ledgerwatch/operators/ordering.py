@@ -69,10 +69,10 @@ def _carried(rows: DataFrame, carry: DataFrame, groups: list[str], order: str, n
 
 
 def _same(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
-    """Inner join on equal or equally missing keys."""
+    """Inner join on equal or equally missing keys; ``b`` has a few rows per key, measure and share, and is broadcast."""
     renamed = b.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in b.columns])
     on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names])
-    return a.join(renamed, on).drop(*[f"_r_{c}" for c in names])
+    return a.join(F.broadcast(renamed), on).drop(*[f"_r_{c}" for c in names])
 
 
 def selected(
@@ -82,7 +82,8 @@ def selected(
 
     ``measures`` has for each measure its column and the shares wanted of it by the names of the results; ``totals`` are
     expressions to sum up over all rows. Three scans: the first counts values per first digit, the others look only at
-    the digits, and then the codes, in which a wanted rank lies. Only counts are shuffled.
+    the digits, and then the codes, in which a wanted rank lies. Only counts are shuffled, and rows do not travel to the
+    digits, of which a value that most rows have would fill one. The keys have to be few, such as features or minutes.
     """
     keys, totals = list(keys), dict(totals or {})
     sums = list(totals)
@@ -109,8 +110,8 @@ def selected(
     kept = ["_want", "_before", "_all", *sums]
 
     def counts(part: DataFrame, by: list[str]) -> DataFrame:
-        count = F.count("_value").alias("_n")
-        return part.groupBy(*by).agg(count, F.first(F.struct(*kept)).alias("_kept")).select(*by, "_n", "_kept.*")
+        # What is kept is the same for all rows of a group; as part of the key it is aggregated by hash before the shuffle.
+        return part.groupBy(*by, *kept).agg(F.count("_value").alias("_n")).select(*by, "_n", *kept)
 
     whole = Window.partitionBy(*groups)
     first = rows.groupBy(*groups, "_high").agg(F.count("_value").alias("_n"), *[F.sum(n).alias(n) for n in sums])

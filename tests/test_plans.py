@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from ledgerwatch.operators.ordering import percentiles
 
 QUERIES = entry_module.queries()
 # These run whole jobs of their own before returning; what they return is a plain scan.
@@ -59,3 +61,11 @@ def test_ranks_take_three_scans(spark, folder, name):
 
 def test_integrity_report_reads_each_table_once(spark, folder):
     assert plan(QUERIES["integrity_report"](spark, folder)).count("FileScan parquet") == 3
+
+
+def test_ranks_shuffle_only_counts(spark):
+    """A value that most rows have would take all of them to one task, or sort them there."""
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("g"), F.when(F.col("id") % 2 == 0, F.rand(1)).otherwise(0.0).alias("v"))
+    text = plan(percentiles(rows, "v", {"p10": 0.1, "p50": 0.5}, ["g"]))
+    assert text.count("BroadcastHashJoin") == 2
+    assert "SortAggregate" not in text and "SortMergeJoin" not in text
