@@ -29,6 +29,8 @@ from ledgerwatch.schema import (
 )
 
 _SCALE = 1_000_000
+# Rows of a task that orders the rows of ordinary users.
+TASK_ROWS = 200_000
 # What each family of features sums up; a family that is not asked for costs nothing.
 _TOTALS = {
     "velocity": ["n_24h", "n_1h"],
@@ -170,11 +172,14 @@ def behaviour(
     lasts = ["seen"] if "last" in families else []
     times = df.select(F.col(cols.user).alias("_user"), micros(cols.ts).alias("_us"))
     cuts = cut_points(times, ["_user"], "_us", segment_rows)
+    # A number of one's own keeps the memory of a task the same at any size; small inputs are left to adaptive execution.
+    tasks = df.count() // TASK_ROWS
+    places = [tasks] if tasks > df.sparkSession.sparkContext.defaultParallelism else []
 
     def run(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
         if cuts is None:
             # Placed by user once; all windows below only sort.
-            rows = rows.repartition("_user")
+            rows = rows.repartition(*places, "_user")
         if "merchants" in families:
             rows = neighbours(rows, ["_user", "_merchant"], "_us", "_txn", cuts, ["_user"])
         return prefix_scan(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from ledgerwatch.operators import behaviour
 from ledgerwatch.operators.ordering import percentiles
 
 QUERIES = entry_module.queries()
@@ -69,3 +70,19 @@ def test_ranks_shuffle_only_counts(spark):
     text = plan(percentiles(rows, "v", {"p10": 0.1, "p50": 0.5}, ["g"]))
     assert text.count("BroadcastHashJoin") == 2
     assert "SortAggregate" not in text and "SortMergeJoin" not in text
+
+
+def test_ordinary_users_are_placed_by_their_number_of_rows(spark, make_txns, monkeypatch):
+    txns = make_txns([(f"t{i:03d}", f"u{i % 40}", 60 * i, i % 7) for i in range(200)])
+    columns = ["txn_id", "txn_velocity_24h", "amount_std_24h", "distinct_merchants_1h", "seconds_since_last_txn"]
+    before = behaviour.behaviour(txns).select(columns).orderBy("txn_id").collect()
+    monkeypatch.setattr(behaviour, "TASK_ROWS", 10)
+    rows = behaviour.behaviour(txns).select(columns)
+    assert re.search(r"hashpartitioning\(_user#\d+, 20\), REPARTITION_BY_NUM", plan(rows))
+    assert rows.orderBy("txn_id").collect() == before
+
+
+def test_queries_compile_no_method_that_stays_interpreted(spark, folder):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    QUERIES["txn_velocity"](spark, folder)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
