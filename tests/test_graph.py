@@ -115,6 +115,34 @@ def test_busy_devices_take_rows_by_edges_and_questions(make_txns, monkeypatch):
     assert kept["busy_moves"].count() <= 600 * (7 + 1 + 3 + 7)
 
 
+@pytest.mark.parametrize("task_pairs", [10**9, 100])
+def test_pairs_of_users_of_many_devices_by_parts(make_txns, monkeypatch, task_pairs):
+    """Users of some ten busy devices and others of two, with one part and with many."""
+    monkeypatch.setattr(graph, "TASK_PAIRS", task_pairs)
+    rows = met_rows(25, 14, 16, 2) + [(f"n{r[0]}", f"n{r[1]}", *r[2:]) for r in met_rows(25, 14, 2, 3)]
+    txns = make_txns(rows)
+    events, busy = graph.shared_device_events(graph.build_edges(txns), 1)
+    df = behaviour(txns, user_events=events.drop("busy_set"), event_totals=["devices_met"])
+    got = {r.txn_id: r.devices_met for r in graph.add_busy_members(df, busy, times=txns).select("txn_id", "devices_met").collect()}
+    assert got == {r[0]: len(device_neighbours(rows, r[1], r[2])) for r in rows}
+
+
+def test_pairs_of_users_of_many_devices_fill_no_task(spark, monkeypatch):
+    """200 users, all on the same ten devices: 2,000 edges make 398,000 pairs, which one task used to make."""
+    monkeypatch.setattr(graph, "TASK_PAIRS", 20_000)
+    entry = F.struct(F.concat(F.lit("d"), F.col("d").cast("string")).alias("device"), F.col("id").alias("first_seen"), F.lit(200).cast("long").alias("users"))
+    mine = (
+        spark.range(200).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(9)))).groupBy(F.concat(F.lit("u"), "id").alias("user_id"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("busy")).withColumn("wide", F.lit(True))
+    )
+    found = graph._wide_pairs(mine, 400_000).withColumn("task", F.spark_partition_id())
+    tasks = found.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.collect_set("user_id").alias("users")).collect()
+    assert sum(r.n for r in tasks) == 200 * 199 * 10
+    assert len(tasks) > 8 and max(r.n for r in tasks) < 100_000
+    # All devices of a user in one task.
+    assert sum(len(r.users) for r in tasks) == 200
+
+
 def hops(rows, flagged, user, until):
     """Breadth-first search from the user over devices and merchants seen by then."""
     by_entity, by_user = defaultdict(set), defaultdict(set)
